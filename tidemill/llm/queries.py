@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import sharding
+from tidemill.llm import sharding, tokens
 from tidemill.llm._common import read
 
 
+def word_bpe() -> str:
+    """The path of the public vocabulary that the packing and token-file queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_file_digests(read(spark, sf_dir, "documents"), word_bpe(), end=2, length=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLES: dict[str, str] = {}
