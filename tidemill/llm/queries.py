@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import sharding, tokens
+from tidemill.llm import langid, sharding, tokens
 from tidemill.llm._common import read
 
 
@@ -25,9 +25,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_file_digests(read(spark, sf_dir, "documents"), word_bpe(), end=2, length=2048)
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op8_token_files": op8_token_files,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {}
