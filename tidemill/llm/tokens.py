@@ -13,6 +13,8 @@ mask false there. The batches aren't compressed, so a memory map gives any seque
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import uuid
 import zlib
@@ -30,38 +32,75 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
-    """encode(texts) -> for each text the bytes of its ids as little-endian uint32."""
+    """encode(texts) -> for each text the bytes of its ids as little-endian uint32.
 
-    def __init__(self, path: str, memory: int = 500_000):
-        from tokenizers import Tokenizer
+    Where the vocabulary file drops white space, lowers case and byte-encodes runs of letters, runs are encoded once and
+    remembered; any other file gets whole texts."""
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+    def __init__(self, path: str, memory: int = 800_000, longest: int = 11):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.memory, self.longest = Tokenizer.from_file(path), memory, longest  # longer runs seldom come again
         self.known: dict[str, bytes] = {}
-        self.stops = {c: self._whole([c])[0] for c in ".,"}
+        file = json.loads(self.tokenizer.to_str())
+        before, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+        kinds = [x["type"] for x in before.get("normalizers", ())], [x["type"] for x in split.get("pretokenizers", ())]
+        self.by_run = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and split["pretokenizers"][0]["invert"] and "\\s" in split["pretokenizers"][0]["pattern"].get("Regex", "")
+        if self.by_run:
+            self.model = self.tokenizer.model
+            self.stops = {c: self._whole([c])[0] for c in ".,"}
+            spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.spelling = {i: spell.pre_tokenize_str(chr(i))[0][0] for i in range(128, 256) if chr(i).isalpha()}
+            self.pieces = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Chunks of letters and a stop are two pre-tokens: only the letters go to the library."""
-        known = self.known
-        stopped = {c: c[:-1] for c in chunks if c[-1] in ".," and c[:-1].isalpha()}
-        new = [c for c in (chunks - stopped.keys()) | set(stopped.values()) if c not in known]
-        known.update(zip(new, self._whole(new), strict=True))
-        for c, word in stopped.items():
-            known[c] = known[word] + self.stops[c[-1]]
-
-    def encode(self, texts: Iterable[str | None], size: int = 256) -> Iterator[bytes]:
+    def _learn(self, new: set[str]) -> list[str]:
+        """Make the runs in new known. A run of Latin-1 letters, perhaps with one stop behind, is encoded in lower case without
+        the stop. Returns what has been added and is too long to be kept."""
+        known, pieces, tokenize, stops = self.known, self.pieces, self.model.tokenize, self.stops
+        other, passing, longest = [], [], self.longest
+        for c in new:
+            last = c[-1]
+            word = c[:-1] if last in stops else c
+            if word.isalpha() and ((ascii := word.isascii()) or max(word) < "\u0100"):
+                # Normal once in lower case, and one pre-token: the library's model takes it as it is.
+                word = word.lower()
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = b"".join([pieces[t.id] for t in tokenize(word if ascii else word.translate(self.spelling))])
+                    if len(word) > longest:
+                        passing.append(word)
+                known[c] = ids + stops[last] if last in stops else ids
+            else:
+                other.append(c)
+            if len(c) > longest:
+                passing.append(c)
+        known.update(zip(other, self._whole(other), strict=True))
+        return passing
+
+    def encode(self, texts: Iterable[str | None], size: int = 512) -> Iterator[bytes]:
         texts = list(texts)
         for at in range(0, len(texts), size):
-            block = [(t or "").split() if not t or not _ODD_SPACE.search(t) else None for t in texts[at : at + size]]
-            if len(self.known) > self.memory:
-                self.known.clear()
-            if new := {c for chunks in block if chunks for c in chunks if c not in self.known}:
-                self._learn(new)
-            known = self.known
-            for chunks, text in zip(block, texts[at : at + size], strict=True):
-                yield self._whole([text])[0] if chunks is None else b"".join([known[c] for c in chunks])
+            yield from self._block(texts[at : at + size])
+
+    def _block(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_run:
+            return self._whole([t or "" for t in texts])
+        collecting = gc.isenabled()
+        gc.disable()  # many short-lived objects and no cycles
+        block = [(t or "").split() if not t or not _ODD_SPACE.search(t) else None for t in texts]
+        passing = self._learn(set().union(*filter(None, block)) - self.known.keys())
+        ids = self.known.__getitem__
+        out = [self._whole([t])[0] if runs is None else b"".join(map(ids, runs)) for runs, t in zip(block, texts, strict=True)]
+        if len(self.known) - len(passing) > self.memory:
+            self.known.clear()
+        else:
+            for c in passing:
+                self.known.pop(c, None)
+        if collecting:
+            gc.enable()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
