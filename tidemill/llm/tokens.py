@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,10 @@ from tidemill.llm._common import shared_dir
 #: Space to str.split() but not to the library's \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
+# The vocabulary's pre-tokens as Python's patterns say them within Latin-1, but for numerals that aren't digits.
+_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_NUMERALS = re.compile("[\u00b2\u00b3\u00b9\u00bc\u00bd\u00be]")
+
 
 class Encoder:
     """encode(texts) -> for each text the bytes of its ids as little-endian uint32.
@@ -37,11 +42,13 @@ class Encoder:
     Where the vocabulary file drops white space, lowers case and byte-encodes runs of letters, runs are encoded once and
     remembered; any other file gets whole texts."""
 
-    def __init__(self, path: str, memory: int = 800_000, longest: int = 11):
+    def __init__(self, path: str, memory: int = 1_200_000, longest: int = 13):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memory, self.longest = Tokenizer.from_file(path), memory, longest  # longer runs seldom come again
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes | None] = {}
+        self.runs: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         file = json.loads(self.tokenizer.to_str())
         before, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
         kinds = [x["type"] for x in before.get("normalizers", ())], [x["type"] for x in split.get("pretokenizers", ())]
@@ -56,53 +63,120 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> list[str]:
-        """Make the runs in new known. A run of Latin-1 letters, perhaps with one stop behind, is encoded in lower case without
-        the stop. Returns what has been added and is too long to be kept."""
-        known, pieces, tokenize, stops = self.known, self.pieces, self.model.tokenize, self.stops
-        other, passing, longest = [], [], self.longest
-        for c in new:
-            last = c[-1]
-            word = c[:-1] if last in stops else c
-            if word.isalpha() and ((ascii := word.isascii()) or max(word) < "\u0100"):
-                # Normal once in lower case, and one pre-token: the library's model takes it as it is.
-                word = word.lower()
-                if (ids := known.get(word)) is None:
-                    ids = known[word] = b"".join([pieces[t.id] for t in tokenize(word if ascii else word.translate(self.spelling))])
-                    if len(word) > longest:
-                        passing.append(word)
-                known[c] = ids + stops[last] if last in stops else ids
+    def _learn_words(self, new: set[str]) -> None:
+        """New runs of lower-case texts whose stops stand alone. None marks a run with punctuation at an end: next to a stop it
+        might be one pre-token with it, so such a text is cut at spaces only."""
+        words, pieces, tokenize, spelling, other = self.words, self.pieces, self.model.tokenize, self.spelling, []
+        for w in new:
+            if w.isalpha():  # normal, and one pre-token: the library's model takes it as it is
+                words[w] = b"".join([pieces[t.id] for t in tokenize(w if w.isascii() else w.translate(spelling))])
+            elif w in self.stops:
+                words[w] = self.stops[w]
+            elif w[0].isalnum() and w[-1].isalnum():
+                other.append(w)
+            else:
+                words[w] = None
+        words.update(zip(other, self._whole(other), strict=True))
+
+    def _texts_by_words(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of Latin-1 texts, in which lower case is the same everywhere; None where a text has to be cut at spaces only."""
+        apart = pa.array(texts, pa.large_string())
+        for stop in self.stops:
+            apart = pc.replace_substring(apart, stop, f" {stop} ")
+        return self._assembled(pc.utf8_lower(apart), self.words, self._learn_words)
+
+    def _texts_by_runs(self, texts: list[str]) -> list[bytes | None]:
+        return self._assembled(pa.array(texts, pa.large_string()), self.runs, self._learn_runs)
+
+    def _assembled(self, texts: pa.Array, known: dict, learn) -> list[bytes | None]:
+        """Split at spaces, look each distinct run up once, and join the ids of the runs of each text as arrays."""
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        which, distinct, bounds = coded.indices.to_numpy(), coded.dictionary.to_pylist(), lists.offsets.to_numpy()
+        known[""] = b""
+        new = set(distinct) - known.keys()
+        learn(new)
+        pieces = list(map(known.__getitem__, distinct))
+        self._forget(known, new)
+        barred = np.array([p is None for p in pieces], bool)
+        pieces = [p or b"" for p in pieces]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        ids = np.frombuffer(b"".join(pieces), "<u4")
+        each = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[bounds]).tolist()
+        bad = np.concatenate([[0], np.cumsum(barred[which])])[bounds]
+        return [None if y > x else flat[c:d] for c, d, x, y in zip(cuts, cuts[1:], bad, bad[1:], strict=False)]
+
+    def _learn_runs(self, new: set[str]) -> None:
+        """New runs of characters between spaces. In Latin-1 the vocabulary's pre-tokens can be told apart here."""
+        runs, words, marks, other, parts = self.runs, self.words, self.marks, [], {}
+        for run in new:
+            if (run.isascii() or max(run) < "\u0100") and "<|" not in run and not _NUMERALS.search(run):
+                parts[run] = _PRE_TOKENS.findall(run.lower())
             else:
-                other.append(c)
-            if len(c) > longest:
-                passing.append(c)
-        known.update(zip(other, self._whole(other), strict=True))
-        return passing
-
-    def encode(self, texts: Iterable[str | None], size: int = 512) -> Iterator[bytes]:
-        texts = list(texts)
-        for at in range(0, len(texts), size):
-            yield from self._block(texts[at : at + size])
-
-    def _block(self, texts: list[str | None]) -> list[bytes]:
+                other.append(run)
+        self._learn_words({p for some in parts.values() for p in some if p.isalpha() and p not in words})
+        loose = list({p for some in parts.values() for p in some if not p.isalpha() and p not in marks})
+        if len(marks) > 100_000:
+            marks.clear()
+            loose = list({p for some in parts.values() for p in some if not p.isalpha()})
+        marks.update(zip(loose, self._whole(loose), strict=True))
+        for run, some in parts.items():
+            runs[run] = b"".join([words[p] if p.isalpha() else marks[p] for p in some])
+        runs.update(zip(other, self._whole(other), strict=True))
+
+    def _forget(self, known: dict, new: set[str]) -> None:
+        if len(known) > self.memory:
+            known.clear()
+        else:
+            for c in new:
+                if len(c) > self.longest:
+                    known.pop(c, None)
+
+    def encode(self, texts: Iterable[str | None], most: int = 8_000_000) -> Iterator[bytes]:
+        """Texts are taken in blocks of about `most` characters."""
+        block, size = [], 0
+        for t in texts:
+            block.append(t or "")
+            size += len(block[-1])
+            if size >= most:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         if not self.by_run:
-            return self._whole([t or "" for t in texts])
+            return self._whole(texts)
         collecting = gc.isenabled()
         gc.disable()  # many short-lived objects and no cycles
-        block = [(t or "").split() if not t or not _ODD_SPACE.search(t) else None for t in texts]
-        passing = self._learn(set().union(*filter(None, block)) - self.known.keys())
-        ids = self.known.__getitem__
-        out = [self._whole([t])[0] if runs is None else b"".join(map(ids, runs)) for runs, t in zip(block, texts, strict=True)]
-        if len(self.known) - len(passing) > self.memory:
-            self.known.clear()
-        else:
-            for c in passing:
-                self.known.pop(c, None)
+        odd = [bool(_ODD_SPACE.search(t)) for t in texts]
+        plain = [not x and _latin(t) and not any(p in t for p in ("..", ",,", ".,", ",.")) for t, x in zip(texts, odd, strict=True)]
+        out: list[bytes | None] = [None] * len(texts)
+
+        def fill(some: list[int], how) -> None:
+            if not some:
+                return
+            for i, ids in zip(some, how([texts[i] for i in some]), strict=True):
+                out[i] = ids
+
+        fill([i for i, x in enumerate(plain) if x], self._texts_by_words)
+        fill([i for i, x in enumerate(odd) if x], self._whole)
+        fill([i for i, x in enumerate(out) if x is None], self._texts_by_runs)
         if collecting:
             gc.enable()
         return out
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
