@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontamination, langid, lmscore, neardup, packing, sharding, tokens, toxicity
+from tidemill.llm import ann, decontamination, langid, lmscore, neardup, packing, sharding, tokens, toxicity
 from tidemill.llm._common import read
 
 
@@ -29,6 +29,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_neardup": op3_neardup,
+    "op4_ann": op4_ann,
     "op5_lmscore": op5_lmscore,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
