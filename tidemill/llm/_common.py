@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
 
@@ -35,6 +38,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_side(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A table of ids, broadcast if it has at most `most` rows (16 MB), else left to a shuffle join."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of docs, with all columns whatever their names, whose texts are accepted. judge() runs once for each task."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = f"c{names.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = None
+        for b in batches:
+            accepts = accepts or judge()
+            yield b.filter(pa.array(accepts(b.column(text).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of uint64."""
     with np.errstate(over="ignore"):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import mix64, word_hashes
+from tidemill.llm._common import mix64, small_side, word_hashes
 
 MASKS = ("11101101011", "110110010111", "1101001110101")
 #: Bytes of benchmark text that are broadcast at once.
@@ -179,4 +179,5 @@ def _pass(rows: DataFrame, shared, identity: float, least: int, share: float) ->
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose doc_id has no overlap. Rows with a null doc_id stay."""
     found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaked")).where("__leaked is not null").distinct()
+    found = small_side(found)
     return docs.join(found, docs["doc_id"].cast("long") == found["__leaked"], "left_anti")

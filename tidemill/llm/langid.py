@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._common import cut
+from tidemill.llm._common import cut, filter_by_text
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -172,3 +172,14 @@ def identify(docs: DataFrame, folds: int = 4, held_out_fold: int = 2, **limits)
     model = fit(docs, ~held, **limits)
     out = predict(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), held.alias("held_out")), model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, with a language whose score is at least `least`; undetermined texts go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        scorer = Scorer(shared.value)
+        return lambda texts: [x != UNDETERMINED and s >= least for x, s in map(scorer.predict, texts)]
+
+    return filter_by_text(docs, judge)

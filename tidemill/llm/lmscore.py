@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import cut, mix64, word_hashes
+from tidemill.llm._common import cut, mix64, small_side, word_hashes
 
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -156,11 +156,6 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, words: int = 30
     good = labels.where("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("__id")).distinct()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     # Texts stay where they are if the ids of the target are few.
-    marked = rows.join(_small(good.select(F.col("__id").alias("doc_id"), F.lit(True).alias("target"))), "doc_id", "left")
+    marked = rows.join(small_side(good.select(F.col("__id").alias("doc_id"), F.lit(True).alias("target"))), "doc_id", "left")
     return score(rows, fit(marked, words, slots))
 
-
-def _small(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """ids, broadcast if there are at most `most` (16 MB), else left to a shuffle join."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.count() <= most else ids

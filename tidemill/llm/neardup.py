@@ -26,11 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import bag, bag_similarity, cut, mix64
+from tidemill.llm._common import bag, bag_similarity, cut, mix64, small_side
 
 ROWS, BANDS = 6, 32
-#: Ids of documents in need of their texts are broadcast up to this many (8 bytes each), and joined by a shuffle beyond.
-MOST_BROADCAST = 1_000_000
 #: Members of a bucket that are compared at once, in blocks against blocks.
 BLOCK = 512
 
@@ -156,11 +154,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, words: int = 5
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("doc_id is not null and text is not null")
-    wanted = cut(wanted)
-    if wanted.count() <= MOST_BROADCAST:
-        texts = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
-    else:
-        texts = texts.join(wanted, "doc_id", "left_semi")
+    texts = texts.join(small_side(wanted), "doc_id", "left_semi")
     # A doc_id that several rows share has one text among the representatives; the smallest stands for it on both sides.
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = cut(texts)
@@ -264,3 +258,22 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     found = copies.join(labels.select(F.col("node").alias("head"), "label"), "head", "left").join(links.select(F.col("node").alias("head"), "links"), "head", "left")
     found = found.select("doc_id", "head", F.coalesce("label", "head").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.when(F.col("doc_id") != F.col("head"), 1).otherwise(0)).cast("long").alias("links"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("representative"), "links")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, with one document of each class: the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays, the one with the smallest text. Rows with a null doc_id all stay."""
+    named = docs["doc_id"].cast("long")
+    again = cut(docs.select(named.alias("i")).where("i is not null").groupBy("i").agg(F.count("*").alias("n")).where("n > 1").select("i"))
+    gone = small_side(classes(docs, **options).where("not representative").select(F.col("doc_id").alias("__gone")))
+    kept = docs.join(gone, named == gone["__gone"], "left_anti")
+    if again.isEmpty():
+        return kept
+    names = kept.columns
+    plain = kept.toDF(*(f"c{i}" for i in range(len(names))))
+    key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    repeated = small_side(again)
+    rest = plain.join(repeated, plain[key].cast("long") == repeated["i"], "left_anti")
+    one = plain.join(repeated, plain[key].cast("long") == repeated["i"], "left_semi").groupBy(F.col(key).alias("k")).agg(F.min_by(F.struct(*plain.columns), F.col(text)).alias("row"), F.any_value(F.struct(*plain.columns)).alias("any"))
+    return rest.unionByName(one.select(F.coalesce("row", "any").alias("row")).select("row.*")).toDF(*names)

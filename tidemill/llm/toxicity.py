@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm._common import filter_by_text
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -178,3 +180,14 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = fit(docs, labels, **options)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), (~F.coalesce(in_training(docs["doc_id"]), F.lit(True))).alias("held_out"))
     return score(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, that score below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        scorer = Scorer(shared.value)
+        return lambda texts: [scorer.score(t) < 0.5 for t in texts]
+
+    return filter_by_text(docs, judge)
