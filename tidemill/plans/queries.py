@@ -1,10 +1,8 @@
-"""The registered queries over the fixture tables, with the SQL that checks each."""
+"""All registered queries over the fixture tables, with the SQL that checks each."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemill.plans import scalars  # noqa: F401
+from tidemill.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
