@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.plans import news, scalars  # noqa: F401
+from tidemill.plans import data, news, scalars, works  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
