@@ -9,13 +9,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
@@ -72,37 +69,64 @@ def doc_fold(doc_id, folds: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
 
 
-def normal_word(chunk: str) -> str:
-    """A run of non-space characters in lower case with all but letters and digits removed."""
-    low = chunk.lower()
-    return low if low.isalnum() else "".join(c for c in low if c.isalnum())
-
-
-class WordHashes(dict):
-    """chunk -> hash of its normal word; 0 for a chunk without letters or digits."""
+_FACTOR = 0x9E3779B97F4A7C15
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    LIMIT = 400_000
 
-    def __missing__(self, chunk: str) -> int:
-        word = normal_word(chunk)
-        value = (xxhash.xxh64_intdigest(word) | 1) if word else 0
-        if len(chunk) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[chunk] = value
-        return value
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the factor and of its inverse mod 2**64, remembered."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 18), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
 
 
-_HASHES = WordHashes()
+def hash_strings(strings: pa.LargeStringArray) -> np.ndarray:
+    """A uint64 for each string, 0 for an empty one: a polynomial in its bytes, from differences of running sums."""
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    out = np.zeros(len(strings), np.uint64)
+    data = strings.buffers()[2]
+    if not len(strings) or data is None:
+        return out
+    data, at = np.frombuffer(data, np.uint8), 0
+    with np.errstate(over="ignore"):
+        while at < len(strings):  # slices of about a megabyte
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20))) - 1)
+            places = ends[at : to + 1] - ends[at]
+            up, down = _powers(int(places[-1]) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data[ends[at] : ends[to]]] * up[: places[-1]])])
+            size = (places[1:] - places[:-1]).astype(np.uint64)
+            value = mix64((sums[places[1:]] - sums[places[:-1]]) * down[places[:-1]] + size) | np.uint64(1)
+            out[at:to] = np.where(size > 0, value, np.uint64(0))
+            at = to
+    return out
+
+
+def word_hashes_of(texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+    """For each whole text one uint64 for each of its words; none for a null text.
+
+    A word is a run of characters between spaces, in lower case and without all but letters and digits, unless nothing is
+    left of it. Each distinct run of the texts is hashed once; the work is done on arrays."""
+    column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    lists = pc.utf8_split_whitespace(pc.fill_null(column, ""))
+    coded = lists.flatten().dictionary_encode()
+    words = pc.utf8_lower(coded.dictionary)
+    mixed = pc.invert(pc.utf8_is_alnum(words)).to_numpy(zero_copy_only=False)
+    hashes = hash_strings(words)
+    if mixed.any():
+        hashes[mixed] = hash_strings(pc.replace_substring_regex(words.filter(pa.array(mixed)), r"[^\p{L}\p{N}]+", ""))
+    flat = hashes[coded.indices.to_numpy()]
+    bounds = lists.offsets.to_numpy()
+    kept = np.concatenate([[0], np.cumsum(flat != 0)])[bounds]
+    flat = flat[flat != 0]
+    return [flat[a:b] for a, b in zip(kept, kept[1:], strict=False)]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """One uint64 for each word of the whole text; empty for a null text."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    chunks = text.split()
-    out = np.fromiter(map(_HASHES.__getitem__, chunks), np.uint64, len(chunks))
-    return out[out != 0] if len(out) and not out.all() else out
+    return word_hashes_of([text])[0]
 
 
 def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
@@ -118,9 +142,13 @@ def shingles(words: np.ndarray, n: int = 5) -> np.ndarray:
     return mix64(total)
 
 
+def bags_of(texts: list[str | None] | pa.Array, n: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingle hashes in order, and how often each occurs."""
+    return [np.unique(shingles(w, n), return_counts=True) for w in word_hashes_of(texts)]
+
+
 def bag(text: str | None, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in order, and how often each occurs."""
-    return np.unique(shingles(word_hashes(text), n), return_counts=True)
+    return bags_of([text], n)[0]
 
 
 def bag_similarity(a: tuple, b: tuple) -> float:

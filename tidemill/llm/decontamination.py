@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import mix64, small_side, word_hashes
+from tidemill.llm._common import mix64, small_side, word_hashes, word_hashes_of
 
 MASKS = ("11101101011", "110110010111", "1101001110101")
 #: Bytes of benchmark text that are broadcast at once.
@@ -109,9 +109,9 @@ def overlaps(words: np.ndarray, hits: set[tuple[int, int]], index: Index, identi
             yield item, matched, first
 
 
-def find(texts: list[str | None], index: Index, identity: float, least: int, share: float) -> Iterator[tuple[int, tuple]]:
+def find(texts: list[str | None] | pa.Array, index: Index, identity: float, least: int, share: float) -> Iterator[tuple[int, tuple]]:
     """(number of the text, overlap) of every confirmed overlap; hashing runs over all texts at once."""
-    words = [word_hashes(t) for t in texts]
+    words = word_hashes_of(texts)
     sizes = np.array([len(w) for w in words])
     ends = np.cumsum(sizes)
     flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -168,7 +168,7 @@ def _pass(rows: DataFrame, shared, identity: float, least: int, share: float) ->
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 ids, got = b.column("doc_id").to_pylist(), []
-                for text, (item, matched, first) in find(b.column("text").to_pylist(), index, identity, least, share):
+                for text, (item, matched, first) in find(b.column("text"), index, identity, least, share):
                     got.append((ids[text], index.ids[item], matched, len(index.words[item]), first))
                 if got:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "matched", "item_words", "first_word"])

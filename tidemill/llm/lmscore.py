@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import cut, mix64, small_side, word_hashes
+from tidemill.llm._common import cut, mix64, small_side, word_hashes_of
 
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -61,7 +61,7 @@ def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [word_hashes(t) for t in b.column("text").to_pylist()]
+            found = word_hashes_of(b.column("text"))
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -70,9 +70,9 @@ def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(top.view(np.uint64))
 
 
-def _sequence(models: Models, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def _sequence(models: Models, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of each word and of the one before it; the start mark stands before the first."""
-    word = models.numbers(word_hashes(text))
+    word = models.numbers(hashes)
     return np.concatenate([[len(models.vocabulary) + 1], word[:-1]]) if len(word) else word, word
 
 
@@ -89,8 +89,8 @@ def fit(docs: DataFrame, words: int = 30_000, slots: int = 1 << 20) -> Models:
         own = shared.value
         total = np.zeros((2, size + slots), np.int64)
         for b in batches:
-            for text, target in zip(b.column("text").to_pylist(), b.column("target").to_pylist(), strict=True):
-                before, word = _sequence(own, text)
+            for hashes, target in zip(word_hashes_of(b.column("text")), b.column("target").to_pylist(), strict=True):
+                before, word = _sequence(own, hashes)
                 if len(word):
                     for row in (0, 1) if target else (0,):
                         np.add.at(total[row], word, 1)
@@ -138,8 +138,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         own = shared.value
         for b in batches:
             n, losses = [], []
-            for text in b.column("text").to_pylist():
-                before, word = _sequence(own, text)
+            for hashes in word_hashes_of(b.column("text")):
+                before, word = _sequence(own, hashes)
                 n.append(len(word))
                 losses.append(own.losses(before, word).mean(axis=1, dtype=np.float64).tolist() if len(word) else (None, None))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([x[1] for x in losses], pa.float64()), pa.array([x[0] for x in losses], pa.float64()), pa.array([None if x[0] is None else x[1] - x[0] for x in losses], pa.float64())], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])

@@ -10,14 +10,13 @@ points are drawn up to T, and only bags with an empty component are drawn again
 
 Duplicates. Equal texts first become one. Signatures are cut into bands; in each bucket of equal bands, every member is paired
 with the smallest, and pairs are verified by their bags' exact weighted Jaccard similarity. Components of verified pairs are
-found by contraction. A bucket whose members are then still in several components is compared in full across components, in
-blocks, by signature and then by bags; so each pair that shares a bucket is either in one component already or has been compared.
-No bucket is capped, and none is expanded to all pairs.
+found by contraction. Buckets whose members are then still in several components are compared across components, in blocks,
+by signature and then by bags. So each pair that shares a bucket is in one component or has been compared. No bucket is capped,
+and no pairs are written but those that are similar.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import bag, bag_similarity, cut, mix64, small_side
+from tidemill.llm._common import bag_similarity, bags_of, cut, mix64, small_side
 
 ROWS, BANDS = 6, 32
 #: Members of a bucket that are compared at once, in blocks against blocks.
 BLOCK = 512
 
-_GOLDEN, _STEP, _PICK, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+_GOLDEN, _STEP, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xE7037ED1A0B428DB))
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int, seed: int = 1, slack: float = 3.0) -> np.ndarray:
@@ -66,22 +65,39 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int, seed: int = 1,
 
 
 def _earliest(best, owner, hashes, weight, limit, m, seed, level, low, width) -> None:
-    """Put the points of one band up to each bag's limit into best, where they count and are earlier."""
+    """Put the points of one band up to each bag's limit into best, where they count and are earlier.
+
+    The k-th point of a shingle comes from the k-th hash of a counter, and its time from a running sum, so it doesn't matter
+    how many points are drawn at once: one for bags of many shingles, many for bags of few."""
+    bound = limit[owner]
+    many = m * width * bound > 12
+    for some, at_once in ((~many, 1), (many, 48)):
+        if some.any():
+            _points(best, owner[some], hashes[some], weight[some], bound[some], m, seed, level, low, width, at_once)
+
+
+def _points(best, owner, hashes, weight, bound, m, seed, level, low, width, at_once) -> None:
     with np.errstate(over="ignore"):
         state = mix64(hashes ^ (np.uint64(seed) * _GOLDEN) ^ (np.uint64(level + 1) * _STEP))
-        time = np.zeros(len(hashes))
-        bound = limit[owner]
+        time = np.zeros((len(hashes), 1))
+        first = 1
         while len(state):
-            state = mix64(state + _GOLDEN)
-            time = time - np.log(((state >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (m * width)
-            on = time <= bound
-            state, time, bound, owner, weight = state[on], time[on], bound[on], owner[on], weight[on]
-            if not len(state):
-                return
-            component = (mix64(state ^ _PICK) % np.uint64(m)).astype(np.int64)
-            # The place of a point: one bit of the hash halves the band at a time, down to a unit of weight.
-            counts = low + (mix64(state ^ _PLACE) & np.uint64(width - 1)).astype(np.int64) < weight if width > 1 else slice(None)
-            np.minimum.at(best, (owner * m + component)[counts], time[counts])
+            # One hash for each point: 40 bits tell its time, 24 its component.
+            drawn = mix64(state[:, None] + np.arange(first, first + at_once, dtype=np.uint64)[None, :] * _GOLDEN)
+            gaps = -np.log(((drawn >> np.uint64(24)).astype(float) + 0.5) * 2.0**-40) / (m * width)
+            times = np.cumsum(np.concatenate([time, gaps], axis=1), axis=1)[:, 1:]
+            row, column = np.nonzero(times <= bound[:, None])
+            drawn, when = drawn[row, column], times[row, column]
+            place = owner[row] * m + ((drawn & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
+            if width == 1:  # a band of one unit: every element that is here reaches it
+                np.minimum.at(best, place, when)
+            else:
+                # Where a point lies in its band: one bit of a hash halves the band at a time, down to a unit of weight.
+                counts = low + (mix64(drawn ^ _PLACE) & np.uint64(width - 1)).astype(np.int64) < weight[row]
+                np.minimum.at(best, place[counts], when[counts])
+            on = np.flatnonzero(times[:, -1] <= bound)
+            state, time, bound, owner, weight = state[on], times[on, -1:], bound[on], owner[on], weight[on]
+            first += at_once
 
 
 def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
@@ -106,7 +122,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = 5)
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 texts = b.column("text").to_pylist()
-                bags = [bag(t, words) for t in texts]
+                bags = bags_of(b.column("text"), words)
                 signed = signatures(bags, m)
                 keys = band_keys(signed, bands)
                 weights = [int(x[1].sum()) for x in bags]
@@ -161,70 +177,78 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, words: int = 5
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict = OrderedDict()
-
-        def bag_of(doc_id: int, text: str):
-            if doc_id not in kept:
-                if len(kept) >= 64:
-                    kept.popitem(last=False)
-                kept[doc_id] = bag(text, words)
-            kept.move_to_end(doc_id)
-            return kept[doc_id]
-
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 one = batch.slice(at, 512)
-                rows = []
-                for a, b, x, y in zip(*(one.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                    s = bag_similarity(bag_of(a, x), bag_of(b, y))
-                    if s >= threshold:
-                        rows.append((a, b, s))
+                pairs_in = list(zip(*(one.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True))
+                distinct = list({i: t for a, b, x, y in pairs_in for i, t in ((a, x), (b, y))}.items())
+                bags = dict(zip((i for i, _ in distinct), bags_of([t for _, t in distinct], words), strict=True))
+                rows = [(a, b, s) for a, b, _, _ in pairs_in if (s := bag_similarity(bags[a], bags[b])) >= threshold]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
     return cut(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double"))
 
 
-def _agreeing(a: list, b: list, m: int, least: int) -> Iterator[tuple[int, int]]:
-    """Index pairs of two lists of (id, label, weight, signature) that may be similar, in other components; compared as arrays."""
-    left, right = (np.frombuffer(b"".join(x[3] for x in side), np.uint32).reshape(-1, m) for side in (a, b))
-    label_a, label_b = np.array([x[1] for x in a]), np.array([x[1] for x in b])
-    for i in range(len(a)):
-        close = np.flatnonzero((label_b != label_a[i]) & ((right == left[i]).sum(axis=1) >= least))
-        for j in close:
-            yield i, int(j)
-
-
-def across(members: DataFrame, labels: DataFrame, signed: DataFrame, m: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) across components within buckets that have several, whose signatures don't rule out the threshold.
+def _links(first: list, second: list, bucket: int, m: int, bands: int, least: int, threshold: float, words: int) -> Iterator[tuple[int, int, float]]:
+    """Verified pairs between two lists of (id, label, weight, signature, text) of one bucket, as many as join what belongs together.
+
+    A pair is looked at if its labels differ, its signatures and weights don't rule it out, and this is the first bucket that it
+    shares; so each pair is verified once. Pairs that found links have joined already aren't verified."""
+    left, right = (np.frombuffer(b"".join(x[3] for x in side), np.uint32).reshape(-1, m) for side in (first, second))
+    keys_a, keys_b = band_keys(left, bands), band_keys(right, bands)
+    label_b, weight_b = np.array([x[1] for x in second]), np.array([x[2] for x in second])
+    looked_at = []
+    for i, (_, label, weight, _, _) in enumerate(first):
+        agree = (right == left[i]).sum(axis=1)
+        near = np.flatnonzero((label_b != label) & (agree >= least) & (np.minimum(weight_b, weight) >= threshold * np.maximum(weight_b, weight)))
+        shared = (keys_b[near] == keys_a[i]).argmax(axis=1)
+        near = near[keys_b[near, shared] == bucket]
+        looked_at += [(-int(agree[j]), i, int(j)) for j in near]
+    texts = {x[0]: x[4] for side, k in ((first, 1), (second, 2)) for x in (side[c[k]] for c in looked_at)}
+    bags = dict(zip(texts, bags_of(list(texts.values()), words), strict=True))
+    parent: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while (up := parent.get(label, label)) != label:
+            label = up
+        return label
+
+    for _, i, j in sorted(looked_at):  # the most promising first
+        (a, label_a, *_), (b, label_b_, *_) = first[i], second[j]
+        x, y = root(label_a), root(label_b_)
+        if x != y and (s := bag_similarity(bags[a], bags[b])) >= threshold:
+            parent[max(x, y)] = min(x, y)
+            yield min(a, b), max(a, b), s
+
+
+def across(members: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataFrame, m: int, bands: int, threshold: float, words: int) -> DataFrame:
+    """Verified pairs (a, b, similarity) across components within buckets that have several; enough of them to join whatever
+    a pair of similar members of one bucket would join.
 
     members: bucket, doc_id. A bucket's members are dealt to blocks; blocks meet blocks, so a task holds two blocks only."""
     placed = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     placed = cut(placed)
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    mixed = cut(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.join(signed.select("doc_id", "weight", "signature"), "doc_id")
+    rows = cut(placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"))
+    wanted = small_side(rows.select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").where("text is not null").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(signed.select("doc_id", "weight", "signature").join(texts, "doc_id"), "doc_id")
     # Each block meets itself and every other one of its bucket: (x, y) with x <= y.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "weight", "signature")
-    # Six standard deviations below the threshold: a similar pair is missed with a chance of about one in a billion.
-    least = int(np.floor(m * threshold - 6 * np.sqrt(m * threshold * (1 - threshold))))
+    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "weight", "signature", "text")
+    # 4.5 standard deviations below the threshold: a similar pair is missed with a chance of about one in 300,000.
+    least = int(np.floor(m * threshold - 4.5 * np.sqrt(m * threshold * (1 - threshold))))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        got = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "weight", "signature", "block")), strict=True))
-        first = [g for g in got if g[4] == key[1].as_py()]
-        second = first if key[1] == key[2] else [g for g in got if g[4] == key[2].as_py()]
-        found = set()
-        if first and second:
-            for i, j in _agreeing(first, second, m, least):
-                a, b = first[i], second[j]
-                if min(a[2], b[2]) >= threshold * max(a[2], b[2]):
-                    found.add((min(a[0], b[0]), max(a[0], b[0])))
-        rows = sorted(found)
-        return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
+        got = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "weight", "signature", "text", "block")), strict=True))
+        first = [g[:5] for g in got if g[5] == key[1].as_py()]
+        second = first if key[1] == key[2] else [g[:5] for g in got if g[5] == key[2].as_py()]
+        found = list(_links(first, second, key[0].as_py(), m, bands, least, threshold, words)) if first and second else []
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return cut(rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long, similarity double"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = 5) -> DataFrame:
@@ -250,7 +274,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = verified(stars, named, threshold, words)
     labels = components(edges)
-    more = verified(across(members.select("bucket", "doc_id"), labels, alone, bands * rows, threshold), named, threshold, words)
+    more = across(members.select("bucket", "doc_id"), labels, alone, named, bands * rows, bands, threshold, words)
     if not more.isEmpty():
         edges = edges.unionByName(more)
         labels = components(edges)
