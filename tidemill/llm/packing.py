@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm._common import cut
-from tidemill.llm.tokens import crc, encoder
+from tidemill.llm.tokens import crc, encoder, strings
 
 
 def best_configuration(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataFram
         last, code = np.array([end], "<u4").tobytes(), encoder(tokenizer)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), code.encode(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), code.encode(strings(b.column("text"))), strict=True):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     one = ids[at : at + 4 * capacity]

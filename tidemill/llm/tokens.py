@@ -19,6 +19,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ class Encoder:
     Where the vocabulary file drops white space, lowers case and byte-encodes runs of letters, runs are encoded once and
     remembered; any other file gets whole texts."""
 
-    def __init__(self, path: str, memory: int = 1_200_000, longest: int = 13):
+    def __init__(self, path: str, memory: int = 20_000, longest: int = 12):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memory, self.longest = Tokenizer.from_file(path), memory, longest  # longer runs seldom come again
@@ -128,14 +129,16 @@ class Encoder:
         runs.update(zip(other, self._whole(other), strict=True))
 
     def _forget(self, known: dict, new: set[str]) -> None:
+        """Long runs go at once; beyond the bound the half goes that came last, as frequent words come early."""
+        for c in new:
+            if len(c) > self.longest:
+                known.pop(c, None)
         if len(known) > self.memory:
+            kept = list(islice(known.items(), self.memory // 2))
             known.clear()
-        else:
-            for c in new:
-                if len(c) > self.longest:
-                    known.pop(c, None)
+            known.update(kept)
 
-    def encode(self, texts: Iterable[str | None], most: int = 8_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], most: int = 4_000_000) -> Iterator[bytes]:
         """Texts are taken in blocks of about `most` characters."""
         block, size = [], 0
         for t in texts:
@@ -177,6 +180,12 @@ def _latin(text: str) -> bool:
     return True
 
 
+def strings(column: pa.Array, size: int = 256) -> Iterator[str | None]:
+    """The values of a column, a few of them in Python's memory at a time."""
+    for at in range(0, len(column), size):
+        yield from column.slice(at, size).to_pylist()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -280,7 +289,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2
         for b in batches:
             if writer is None:
                 writer = TokenFileWriter(folder, name, length, end, max(code.tokenizer.get_vocab_size(), end + 1) > 65_536)
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), code.encode(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), code.encode(strings(b.column("text"))), strict=True):
                 writer.add(doc_id, np.frombuffer(ids + last, "<u4"))
         if writer is not None:
             n_docs, n_tokens = writer.close()
