@@ -105,7 +105,7 @@ def signed_integer(value: Column) -> Column:
 def ipv4_number(ip: Column) -> Column:
     """The address as an integer; null unless it is four numbers of 0 to 255."""
     parts = F.split(ip, r"\.")
-    numbers = [F.element_at(parts, i).try_cast("long") for i in range(1, 5)]
+    numbers = [F.try_element_at(parts, F.lit(i)).try_cast("long") for i in range(1, 5)]
     total = ((numbers[0] * 256 + numbers[1]) * 256 + numbers[2]) * 256 + numbers[3]
     good = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     for n in numbers:

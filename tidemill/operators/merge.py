@@ -37,7 +37,7 @@ def fold_winner(df: DataFrame, key: str, seq: str, score: str, tagged: str) -> D
     aggregate; the fold runs over those. A key with a third of all rows costs no more than another.
     """
     firsts = df.groupBy(key, score, tagged).agg(F.min(seq).alias("__seq"))
-    rows = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__seq").alias("seq"), F.col(score).cast("int").alias("score"), F.col(tagged).cast("boolean").alias("tagged")))).alias("rows"))
+    rows = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("__seq").alias("seq"), F.col(score).cast("int").alias("score"), F.col(tagged).cast("boolean").alias("tagged")))).alias("__rows"))
     start = F.struct(F.lit(None).cast(df.schema[seq].dataType).alias("seq"), F.lit(-1).alias("score"), F.lit(False).alias("tagged"))
 
     def step(kept: Column, row: Column) -> Column:
@@ -45,8 +45,8 @@ def fold_winner(df: DataFrame, key: str, seq: str, score: str, tagged: str) -> D
         any_tag = kept["tagged"] | row["tagged"]
         return F.struct(F.when(wins, row["seq"]).otherwise(kept["seq"]).alias("seq"), F.when(wins, row["score"]).otherwise(kept["score"]).alias("score"), any_tag.alias("tagged"))
 
-    kept = rows.select(key, F.aggregate("rows", start, step).alias("k"))
-    return kept.select(key, F.col("k.seq").alias(seq), (F.col("k.score") + F.col("k.tagged").cast("int")).alias(score))
+    kept = rows.select(key, F.aggregate("__rows", start, step).alias("__kept"))
+    return kept.select(key, F.col("__kept.seq").alias(seq), (F.col("__kept.score") + F.col("__kept.tagged").cast("int")).alias(score))
 
 
 def set_union(values: str | Column) -> Column:

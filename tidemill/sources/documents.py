@@ -1,0 +1,209 @@
+"""Documents in bytes to sections of text: EPUB, HTML, plain text, comic archives, PalmDoc and PDF.
+
+The format comes from an option, else the file's name, else its first bytes. Each file is one task's work, under caps on what it
+may inflate to; a file without text, or one that is encrypted, is an error that the row reports.
+"""
+
+from __future__ import annotations
+
+import html
+import posixpath
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.sources.formats import inflate, zip_entries
+
+STREAM_CAP = 64 << 20
+SCHEMA = "file string, section int, href string, title string, text string, error string"
+_SUFFIXES = {"epub": "epub", "html": "html", "htm": "html", "xhtml": "html", "txt": "txt", "cbz": "cbz", "pdf": "pdf", "mobi": "palm", "prc": "palm", "azw": "palm", "pdb": "palm"}
+
+
+def kind_of(name: str, data: bytes) -> str:
+    suffix = name.rsplit(".", 1)[-1].lower()
+    if suffix in _SUFFIXES:
+        return _SUFFIXES[suffix]
+    if data.startswith(b"%PDF-"):
+        return "pdf"
+    if data.startswith(b"PK\x03\x04"):
+        return "epub" if b"application/epub+zip" in data[:200] else "cbz"
+    if data[60:68] in (b"BOOKMOBI", b"TEXtREAd"):
+        return "palm"
+    return "html" if re.search(rb"(?i)<html|<!doctype html", data[:1024]) else "txt"
+
+
+def html_text(markup: str) -> tuple[str, str]:
+    """Title and text of a page."""
+    title = re.search(r"(?is)<title[^>]*>(.*?)</title>", markup)
+    body = re.sub(r"(?is)<(script|style|head|title)\b.*?</\1\s*>|<!--.*?-->", " ", markup)
+    body = re.sub(r"(?i)</?(p|div|br|li|h[1-6]|tr|table|section|article)\b[^>]*>", "\n", body)
+    body = html.unescape(re.sub(r"<[^>]*>", "", body))
+    lines = (re.sub(r"\s+", " ", x).strip() for x in body.split("\n"))
+    return re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", title[1]))).strip() if title else "", "\n".join(x for x in lines if x)
+
+
+def epub_sections(data: bytes) -> Iterator[tuple[str, str, str]]:
+    """(href, title, text) in the order of the spine; entries that are missing are left out."""
+    parts = dict(zip_entries(data))
+    local = lambda e: e.tag.rpartition("}")[2]
+    root = next(e.get("full-path") for e in ElementTree.fromstring(parts["META-INF/container.xml"]).iter() if local(e) == "rootfile")
+    package = ElementTree.fromstring(parts[root])
+    manifest = {e.get("id"): e.get("href") for e in package.iter() if local(e) == "item"}
+    for ref in (e.get("idref") for e in package.iter() if local(e) == "itemref"):
+        if ref in manifest:
+            href = posixpath.normpath(posixpath.join(posixpath.dirname(root), manifest[ref]))
+            if href in parts:
+                yield href, *html_text(parts[href].decode("utf-8", "replace"))
+
+
+def palmdoc(data: bytes) -> bytes:
+    """PalmDoc's compression: literals, runs of literals, a space with a letter, and copies from what is written."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        c = data[at]
+        at += 1
+        if 1 <= c <= 8:
+            out += data[at : at + c]
+            at += c
+        elif c < 0x80:
+            out.append(c)
+        elif c >= 0xC0:
+            out += bytes((32, c ^ 0x80))
+        elif at < len(data):
+            pair = (c << 8 | data[at]) & 0x3FFF
+            at += 1
+            back, n = pair >> 3, (pair & 7) + 3
+            if not 0 < back <= len(out):
+                raise ValueError("copy from before the start")
+            for _ in range(n):
+                out.append(out[-back])
+    return bytes(out)
+
+
+def palm_text(data: bytes) -> str:
+    """The text of a PalmDoc or MOBI book without DRM."""
+    records = struct.unpack_from(">H", data, 76)[0]
+    offsets = [struct.unpack_from(">I", data, 78 + 8 * i)[0] for i in range(records)] + [len(data)]
+    record = lambda i: data[offsets[i] : offsets[i + 1]]
+    head = record(0)
+    packing, _, length, n = struct.unpack_from(">HHIH", head)
+    if struct.unpack_from(">H", head, 12)[0]:
+        raise ValueError("encrypted")
+    if packing not in (1, 2):
+        raise ValueError(f"compression {packing}")
+    latin = len(head) < 32 or struct.unpack_from(">I", head, 28)[0] != 65001
+    body = b"".join(palmdoc(record(i)) if packing == 2 else record(i) for i in range(1, n + 1))[:length]
+    return body.decode("windows-1252" if latin else "utf-8", "replace")
+
+
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> bytes:
+    def one(m: re.Match) -> bytes:
+        c = m[1]
+        return bytes((int(c, 8) & 255,)) if c[:1].isdigit() else _PDF_ESCAPES.get(c, b"" if c in (b"\n", b"\r") else c)
+
+    return re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S)
+
+
+def pdf_text(data: bytes) -> str:
+    """Text that the content streams show, for fonts whose codes are Latin-1 or have a map to Unicode; pages in the file's order."""
+    if b"/Encrypt" in data:
+        raise ValueError("encrypted")
+    streams = []
+    for m in re.finditer(rb"<<((?:(?!stream\b).){0,4000}?)>>\s*stream\r?\n", data, re.S):
+        end = data.find(b"endstream", m.end())
+        body = data[m.end() : end]
+        if b"/FlateDecode" in m[1]:
+            try:
+                body = inflate(body, STREAM_CAP, raw=False)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m[1]:
+            continue
+        streams.append(body)
+    unicode: dict[int, str] = {}
+    wide = False
+    for s in (s for s in streams if b"beginbfchar" in s or b"beginbfrange" in s):
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", s, re.S):
+            for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                wide = wide or len(a) == 4
+                unicode[int(a, 16)] = bytes.fromhex(b.decode()).decode("utf-16-be", "replace")
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", s, re.S):
+            for a, z, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                wide = wide or len(a) == 4
+                for k in range(min(int(z, 16) - int(a, 16), 65_535) + 1):
+                    unicode[int(a, 16) + k] = chr(int(b, 16) + k)
+
+    def shown(raw: bytes) -> str:
+        if unicode:
+            codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if wide else list(raw)
+            return "".join(unicode.get(c, "") for c in codes)
+        return raw.decode("latin-1")
+
+    pages = []
+    for s in streams:
+        if not re.search(rb"\bBT\b", s):
+            continue
+        out = []
+        for m in re.finditer(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|(T\*|\bT[dDm]\b|\bET\b)|(-\d{3,}(?:\.\d+)?)", s, re.S):
+            if m[1] is not None:
+                out.append(shown(_pdf_string(m[1])))
+            elif m[2] is not None:
+                digits = re.sub(rb"\s", b"", m[2])
+                out.append(shown(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())))
+            else:
+                out.append("\n" if m[3] else " ")
+        pages.append(re.sub(r"\n{2,}", "\n", "".join(out)).strip())
+    text = "\n".join(p for p in pages if p)
+    if not text:
+        raise ValueError("no text; its pages may be images")
+    return text
+
+
+def sections(name: str, data: bytes, kind: str | None = None) -> Iterator[tuple[str | None, str | None, str]]:
+    """(href, title, text) of each section of a document."""
+    kind = kind or kind_of(name, data)
+    if kind == "epub":
+        yield from epub_sections(data)
+    elif kind == "html":
+        title, text = html_text(data.decode("utf-8", "replace"))
+        yield None, title, text
+    elif kind == "pdf":
+        yield None, None, pdf_text(data)
+    elif kind == "palm":
+        text = palm_text(data)
+        yield (None, *html_text(text)) if "<html" in text[:500].lower() else (None, None, text)
+    elif kind == "cbz":
+        raise ValueError("images only")
+    else:
+        yield None, None, data.decode("utf-8", "replace")
+
+
+def comic_pages(data: bytes) -> list[str]:
+    """Names of the images of a comic archive, numbers in them in numeric order."""
+    natural = lambda n: [int(x) if x.isdigit() else x.lower() for x in re.split(r"(\d+)", n)]
+    return sorted((n for n, _ in zip_entries(data) if re.search(r"(?i)\.(jpe?g|png|gif|webp)$", n)), key=natural)
+
+
+def read_documents(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A row for each section of each file; a file that can't be read has one row with the error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    rows = [(file, i, h, t, x, None) for i, (h, t, x) in enumerate(sections(file, data, kind))]
+                except Exception as e:
+                    rows = [(file, 0, None, None, None, str(e)[:300])]
+                if rows:
+                    types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["file", "section", "href", "title", "text", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
