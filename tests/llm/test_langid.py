@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, rows
 from tidemill.llm import langid, queries
+from tidemill.llm._common import character_grams, gram_hashes, hash_strings
 
 
 def test_held_out_accuracy(spark):
@@ -17,19 +19,38 @@ def test_held_out_accuracy(spark):
 
 
 def test_word_first_then_shorter_grams():
-    model = langid.Model(["x", "y"], {"known": np.array([-1.0, -9.0])}, {"<abcd": np.array([-2.0, -1.0]), "ab": np.array([0.0, -5.0]), "q": np.array([-1.0, -3.0])})
-    assert model.word_scores("known").tolist() == [-1.0, -9.0]
-    assert np.allclose(model.word_scores("abcde"), np.array([-2.0, -1.0]) + langid.PENALTY)
-    assert np.allclose(model.word_scores("zabz"), np.array([0.0, -5.0]) + 4 * langid.PENALTY)
-    assert np.allclose(model.word_scores("zqz"), np.array([-1.0, -3.0]) + 5 * langid.PENALTY)
-    assert model.word_scores("zzz").tolist() == [0.0, 0.0]
+    def made(**rows):
+        names = sorted(rows)
+        return names, np.array([rows[n] for n in names], np.float32)
+
+    def sorted_table(hashes, rows):
+        order = np.argsort(hashes)
+        return langid.Table(hashes[order], rows[order])
+
+    names, rows_ = made(known=[-1.0, -9.0])
+    words = sorted_table(hash_strings(pa.array(names, pa.large_string())), rows_)
+    grams = {o: langid.Table(np.zeros(0, np.uint64), np.zeros((0, 2), np.float32)) for o in langid.ORDERS}
+    for order, known in ((5, {"<abcd": [-2.0, -1.0]}), (2, {"ab": [0.0, -5.0], "bz": [-2.0, -5.0]}), (1, {"q": [-1.0, -3.0]})):
+        grams[order] = sorted_table(gram_hashes(list(known)), np.array(list(known.values()), np.float32))
+    got = langid.Model(["x", "y"], words, grams).word_scores(pa.array(["known", "abcde", "zabz", "zqz", "zzz"]))
+    p = langid.PENALTY
+    assert np.allclose(got, [[-1.0, -9.0], [-2.0 + p, -1.0 + p], [-1.0 + 4 * p, -5.0 + 4 * p], [-1.0 + 5 * p, -3.0 + 5 * p], [0.0, 0.0]])
 
 
 def test_tables_are_log_shares(spark):
     docs = spark.createDataFrame(rows((1, "aa aa bb"), lang="x") + rows((2, "bb cc"), lang="y") + rows((3, "zz"), lang=None), SCHEMA)
     model = langid.fit(docs, F.lit(True))
-    assert model.languages == ["x", "y"] and set(model.words) == {"aa", "bb", "cc"}
-    assert np.isclose(model.words["aa"][0], np.log(2.5 / 4.5)) and np.isclose(model.words["aa"][1], np.log(0.5 / 3.5))
+    assert model.languages == ["x", "y"] and len(model.words.keys) == 3
+    aa = model.words.rows[model.words.find(hash_strings(pa.array(["aa"], pa.large_string())))[0]]
+    assert np.allclose(aa, [np.log(2.5 / 4.5), np.log(0.5 / 3.5)])
+    assert model.words.find(hash_strings(pa.array(["zz"], pa.large_string())))[0] == -1
+
+
+def test_grams_are_those_of_a_plain_loop():
+    words = ["a", "été", "longer"]
+    for n, (owner, hashes) in enumerate(character_grams(pa.array(words), 5), 1):
+        plain = [(k, f"<{w}>"[i : i + n]) for k, w in enumerate(words) for i in range(len(w) + 3 - n)]
+        assert owner.tolist() == [k for k, _ in plain] and (hashes == gram_hashes([g for _, g in plain])).all()
 
 
 def test_messy(spark, messy, empty):

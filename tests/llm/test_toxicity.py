@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
@@ -25,7 +26,7 @@ def test_unseen_misspellings_share_vectors():
     clean = [words(k, 60) for k in range(300)]
     toxic = [" ".join([*w[:20], ["horrible", "worthless", "pathetic"][k % 3], *w[20:], "disgusting"]) for k, w in ((k, words(1000 + k, 60).split()) for k in range(150))]
     model = toxicity.train(clean + toxic, np.array([0] * 300 + [1] * 150), {0: 1.0, 1: 1.0}, buckets=1 << 16)
-    score = toxicity.Scorer(model).score
+    score = lambda text: toxicity.scores(model, pa.array([text]))[0]
     new = [words(5000 + k, 60).split() for k in range(40)]
     misspelt = [" ".join([*w[:30], ["horribble", "worthlesss", "pathetiic"][k % 3], "disgustingg", *w[30:]]) for k, w in enumerate(new)]
     assert np.mean([score(" ".join(w)) < 0.5 for w in new]) >= 0.95

@@ -41,7 +41,18 @@ def small_side(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text column has about `most` bytes in each."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
     """The rows of docs, with all columns whatever their names, whose texts are accepted. judge() runs once for each task."""
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
@@ -49,9 +60,9 @@ def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[list], list[bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepts = None
-        for b in batches:
+        for b in slices(batches, text):
             accepts = accepts or judge()
-            yield b.filter(pa.array(accepts(b.column(text).to_pylist()), pa.bool_()))
+            yield b.filter(pa.array(accepts(b.column(text)), pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
@@ -84,8 +95,9 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def hash_strings(strings: pa.LargeStringArray) -> np.ndarray:
+def hash_strings(strings: pa.Array) -> np.ndarray:
     """A uint64 for each string, 0 for an empty one: a polynomial in its bytes, from differences of running sums."""
+    strings = strings.cast(pa.large_string())
     ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
     out = np.zeros(len(strings), np.uint64)
     data = strings.buffers()[2]
@@ -125,6 +137,55 @@ def word_hashes_of(texts: list[str | None] | pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(kept, kept[1:], strict=False)]
 
 
+def split_words(texts: pa.Array, kept: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a column, in lower case; for each word of each whole text which of them it is, and whose it is.
+
+    kept: the classes of characters of which words are made, such as \\p{L}."""
+    column = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.utf8_split_whitespace(pc.replace_substring_regex(column, f"[^{kept}]+", " "))
+    coded = lists.flatten().dictionary_encode()
+    which = coded.indices.to_numpy()
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    if not real.all():  # a text that begins or ends with space has an empty run there
+        on = real[which]
+        which, owner = (np.cumsum(real) - 1)[which[on]], owner[on]
+        return coded.dictionary.filter(pa.array(real)), which, owner
+    return coded.dictionary, which, owner
+
+
+def character_grams(words: pa.Array, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 1 to most: all runs of n characters of '<word>', as the word's number and a hash."""
+    part = lambda x: pa.scalar(x, pa.large_string())
+    marked = pc.binary_join_element_wise(part("<"), words.cast(pa.large_string()), part(">"), part(""))
+    codes = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), pc.utf8_length(marked).to_numpy())
+    out, state = [], np.zeros(len(codes), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, most + 1):
+            size = max(0, len(codes) - n + 1)
+            state = (state[:size] ^ codes[n - 1 :][:size]) * np.uint64(0x9FB21C651E98DF25)
+            state ^= state >> np.uint64(29)
+            inside = owner[:size] == owner[n - 1 :][:size]
+            out.append((owner[:size][inside], mix64(state[inside] + np.uint64(n))))
+    return out
+
+
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    """The hashes that character_grams() gives these runs."""
+    out = np.zeros(len(grams), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in {len(g) for g in grams}:
+            at = np.array([i for i, g in enumerate(grams) if len(g) == n])
+            codes = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le"), "<u4").astype(np.uint64).reshape(len(at), n)
+            state = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                state = (state ^ codes[:, k]) * np.uint64(0x9FB21C651E98DF25)
+                state ^= state >> np.uint64(29)
+            out[at] = mix64(state + np.uint64(n))
+    return out
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     return word_hashes_of([text])[0]
 

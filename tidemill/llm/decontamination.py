@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import mix64, small_side, word_hashes, word_hashes_of
+from tidemill.llm._common import mix64, slices, small_side, word_hashes, word_hashes_of
 
 MASKS = ("11101101011", "110110010111", "1101001110101")
 #: Bytes of benchmark text that are broadcast at once.
@@ -164,14 +164,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, identity: float = 0.7, least: i
 def _pass(rows: DataFrame, shared, identity: float, least: int, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids, got = b.column("doc_id").to_pylist(), []
-                for text, (item, matched, first) in find(b.column("text"), index, identity, least, share):
-                    got.append((ids[text], index.ids[item], matched, len(index.words[item]), first))
-                if got:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "matched", "item_words", "first_word"])
+        for b in slices(batches, "text", 1_000_000):
+            ids, got = b.column("doc_id").to_pylist(), []
+            for text, (item, matched, first) in find(b.column("text"), index, identity, least, share):
+                got.append((ids[text], index.ids[item], matched, len(index.words[item]), first))
+            if got:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "matched", "item_words", "first_word"])
 
     return rows.mapInArrow(run, SCHEMA)
 

@@ -12,61 +12,95 @@ a hash of (doc_id, text). Counting runs in Spark; the tables keep the `words` mo
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._common import cut, filter_by_text
+from tidemill.llm._common import character_grams, cut, filter_by_text, gram_hashes, hash_strings, slices, split_words
 
-_WORD = re.compile(r"[^\W\d_]+")
+LETTERS = r"\p{L}"
 ORDERS = (5, 4, 3, 2, 1)
 PENALTY = math.log(0.4)
 UNDETERMINED = "und"
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters of the whole text in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+@dataclass
+class Table:
+    """Sorted hashes of keys, and for each a row of log shares, one for each language."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row number of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
 
 
-def grams_of(word: str, order: int) -> list[str]:
-    marked = f"<{word}>"
-    return [marked[i : i + order] for i in range(len(marked) - order + 1)]
+def table(keys: list[str], hashes: np.ndarray, counts: dict[str, Counter], languages: list[str], smooth: float = 0.5) -> Table:
+    """log((count + smooth) / (total + smooth * keys)) of each key in each language."""
+    n = np.array([[counts[x][k] for x in languages] for k in keys], float).reshape(len(keys), len(languages))
+    rows = np.log((n + smooth) / (n.sum(axis=0) + smooth * max(1, len(keys))))
+    order = np.argsort(hashes)
+    return Table(hashes[order], rows[order].astype(np.float32))
 
 
 @dataclass
 class Model:
-    """languages in order; for each known word and n-gram a row of log shares, one for each language."""
+    """languages in order, the table of words, and one of character n-grams for each order."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def word_scores(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
+    words: Table | None = None
+    grams: dict[int, Table] | None = None
+
+    def word_scores(self, words: pa.Array) -> np.ndarray:
+        """A row for each word: its own, else the mean over its n-grams of the longest order of which any is known."""
+        out = np.zeros((len(words), len(self.languages)))
+        at = self.words.find(hash_strings(words))
+        out[at >= 0] = self.words.rows[at[at >= 0]]
+        open_ = np.flatnonzero(at < 0)
+        if not len(open_):
+            return out
+        grams = character_grams(words.take(pa.array(open_)), max(ORDERS))
+        todo = np.ones(len(open_), bool)
         for k, order in enumerate(ORDERS):
-            found = [s for g in grams_of(word, order) if (s := self.grams.get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0) + (k + 1) * PENALTY
-        return np.zeros(len(self.languages))
-
-
-def tables(counts: dict[str, Counter], languages: list[str], smooth: float = 0.5) -> dict[str, np.ndarray]:
-    """key -> log((count + smooth) / (total + smooth * keys)) in each language."""
-    keys = sorted(set().union(*counts.values())) if counts else []
-    totals = np.array([sum(counts[x].values()) for x in languages], float) + smooth * len(keys)
-    return {k: np.log((np.array([counts[x][k] for x in languages], float) + smooth) / totals) for k in keys}
-
-
-def fit(docs: DataFrame, train: Column, per_language: int = 3000, words: int = 20_000, grams: int = 20_000) -> Model:
+            owner, hashes = grams[order - 1]
+            on = todo[owner]
+            owner, row = owner[on], self.grams[order].find(hashes[on])
+            owner, row = owner[row >= 0], row[row >= 0]
+            found = np.bincount(owner, minlength=len(open_))
+            done = found > 0
+            for j in range(len(self.languages)):
+                total = np.bincount(owner, self.grams[order].rows[row, j], len(open_))
+                out[open_[done], j] = total[done] / found[done] + (k + 1) * PENALTY
+            todo &= ~done
+        return out
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language of each text, and its softmax share of the mean word scores, scaled to at most 20 words."""
+        n = len(texts)
+        words, which, owner = split_words(texts, LETTERS)
+        if not self.languages or not len(which):
+            return [UNDETERMINED] * n, np.zeros(n)
+        scores = self.word_scores(words)
+        count = np.bincount(owner, minlength=n)
+        totals = np.stack([np.bincount(owner, scores[which, j], n) for j in range(len(self.languages))], axis=1)
+        scaled = totals * (np.minimum(20, count) / np.maximum(1, count))[:, None]
+        best = scaled.argmax(axis=1)
+        share = 1.0 / np.exp(scaled - scaled.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.languages[b] if c else UNDETERMINED for b, c in zip(best, count, strict=True)], np.where(count > 0, share, 0.0)
+
+
+def fit(docs: DataFrame, train: Column, per_language: int = 3000, words: int = 20_000, grams: int = 10_000) -> Model:
     """Fit on the rows where train holds, text has a letter and lang isn't null.
 
     The driver receives at most (words + grams * 5) rows for each language; languages are taken to be some hundreds at most."""
@@ -76,16 +110,19 @@ def fit(docs: DataFrame, train: Column, per_language: int = 3000, words: int = 2
     # of languages come to the driver.
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], {}, {})
+        return Model([])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     sample = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of each task's part of the sample; the sample bounds it."""
         found: Counter = Counter()
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                found.update((lang, w) for w in words_of(text))
+        for b in slices(batches, "text"):
+            langs, (distinct, which, owner) = b.column("lang").dictionary_encode(), split_words(b.column("text"), LETTERS)
+            pairs, n = np.unique(langs.indices.to_numpy()[owner].astype(np.int64) * max(1, len(distinct)) + which, return_counts=True)
+            names, words_ = langs.dictionary.to_pylist(), distinct.to_pylist()
+            for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
+                found[names[p // len(words_)], words_[p % len(words_)]] += k
         if found:
             yield pa.record_batch([[k[0] for k in found], [k[1] for k in found], pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
 
@@ -99,49 +136,23 @@ def fit(docs: DataFrame, train: Column, per_language: int = 3000, words: int = 2
         pieces = one if pieces is None else pieces.unionByName(one)
     gram_counts = pieces.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
-    by_word = {x: Counter() for x in languages}
-    for lang, word, n in top(counted, "word", words).select("lang", "word", "n").toLocalIterator():
-        by_word[lang][word] = n
-    by_gram = {o: {x: Counter() for x in languages} for o in ORDERS}
-    for lang, size, gram, n in top(gram_counts, "gram", grams, "size").select("lang", "size", "gram", "n").toLocalIterator():
-        by_gram[size][lang][gram] = n
-    all_grams: dict[str, np.ndarray] = {}
+
+    def gathered(rows: pa.Table, key: str) -> dict[str, Counter]:
+        out = {x: Counter() for x in languages}
+        for lang, k, n in zip(*(rows.column(c).to_pylist() for c in ("lang", key, "n")), strict=True):
+            out[lang][k] = n
+        return out
+
+    by_word = gathered(top(counted, "word", words).select("lang", "word", "n").toArrow(), "word")
+    keys = sorted(set().union(*by_word.values()))
+    word_table = table(keys, hash_strings(pa.array(keys, pa.large_string())), by_word, languages)
+    kept = top(gram_counts, "gram", grams, "size").select("lang", "size", "gram", "n").toArrow()
+    gram_tables = {}
     for o in ORDERS:
-        all_grams |= tables(by_gram[o], languages)
-    return Model(languages, tables(by_word, languages), all_grams)
-
-
-class Scorer:
-    """Predicts with a model; what a word scores is remembered, up to a bound."""
-
-    MEMORY = 200_000
-
-    def __init__(self, model: Model):
-        self.model, self.index = model, {}
-        self.rows = np.zeros((1024, max(1, len(model.languages))))
-
-    def _learn(self, new: list[str]) -> None:
-        at = len(self.index)
-        if at + len(new) > len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros((max(len(new), len(self.rows)), self.rows.shape[1]))])
-        for w in new:
-            self.rows[len(self.index)] = self.model.word_scores(w)
-            self.index[w] = len(self.index)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its softmax share of the mean word scores, scaled to at most 20 words."""
-        words = words_of(text)
-        if not any(c.isalpha() for w in words for c in w) or not self.model.languages:
-            return UNDETERMINED, 0.0
-        if len(self.index) > self.MEMORY:
-            self.index.clear()
-        index = self.index
-        if new := list({w for w in words if w not in index}):
-            self._learn(new)
-        total = self.rows[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        scaled = total * (min(20, len(words)) / len(words))
-        best = int(total.argmax())
-        return self.model.languages[best], float(1.0 / np.exp(scaled - scaled[best]).sum())
+        by_gram = gathered(kept.filter(pc.equal(kept.column("size"), o)), "gram")
+        keys = sorted(set().union(*by_gram.values()))
+        gram_tables[o] = table(keys, gram_hashes(keys), by_gram, languages)
+    return Model(languages, word_table, gram_tables)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -154,11 +165,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        for b in batches:
-            scorer = scorer or Scorer(shared.value)
-            got = [scorer.predict(t) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(f"__k{i}") for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+        for b in slices(batches, "__text"):
+            lang, score = shared.value.predict(b.column("__text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(f"__k{i}") for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -179,7 +188,6 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
-        scorer = Scorer(shared.value)
-        return lambda texts: [x != UNDETERMINED and s >= least for x, s in map(scorer.predict, texts)]
+        return lambda texts: shared.value.predict(texts)[1] >= max(least, 1e-9)  # undetermined ones score 0
 
     return filter_by_text(docs, judge)

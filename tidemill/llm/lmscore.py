@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import cut, mix64, small_side, word_hashes_of
+from tidemill.llm._common import cut, mix64, slices, small_side, word_hashes_of
 
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -60,7 +60,7 @@ def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
     """Hashes of the most frequent words of all documents; ties go to the smaller hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             found = word_hashes_of(b.column("text"))
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, words: int = 30_000, slots: int = 1 << 20) -> Models:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         total = np.zeros((2, size + slots), np.int64)
-        for b in batches:
+        for b in slices(batches, "text"):
             for hashes, target in zip(word_hashes_of(b.column("text")), b.column("target").to_pylist(), strict=True):
                 before, word = _sequence(own, hashes)
                 if len(word):
@@ -136,7 +136,7 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in slices(batches, "text"):
             n, losses = [], []
             for hashes in word_hashes_of(b.column("text")):
                 before, word = _sequence(own, hashes)

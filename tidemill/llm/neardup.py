@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import bag_similarity, bags_of, cut, mix64, small_side
+from tidemill.llm._common import bag_similarity, bags_of, cut, mix64, slices, small_side
 
 ROWS, BANDS = 6, 32
 #: Members of a bucket that are compared at once, in blocks against blocks.
@@ -118,24 +118,22 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = 5)
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = b.column("text").to_pylist()
-                bags = bags_of(b.column("text"), words)
-                signed = signatures(bags, m)
-                keys = band_keys(signed, bands)
-                weights = [int(x[1].sum()) for x in bags]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"),
-                        pa.array([None if t is None else xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary()),
-                        pa.array(weights, pa.int64()),
-                        pa.array([r.tobytes() if w else None for r, w in zip(signed, weights, strict=True)], pa.binary()),
-                        pa.array([k.tolist() if w else None for k, w in zip(keys, weights, strict=True)], pa.list_(pa.int64())),
-                    ],
-                    names=names,
-                )
+        for b in slices(batches, "text", 1_000_000):
+            texts = b.column("text").to_pylist()
+            bags = bags_of(b.column("text"), words)
+            signed = signatures(bags, m)
+            keys = band_keys(signed, bands)
+            weights = [int(x[1].sum()) for x in bags]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array([None if t is None else xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary()),
+                    pa.array(weights, pa.int64()),
+                    pa.array([r.tobytes() if w else None for r, w in zip(signed, weights, strict=True)], pa.binary()),
+                    pa.array([k.tolist() if w else None for k, w in zip(keys, weights, strict=True)], pa.list_(pa.int64())),
+                ],
+                names=names,
+            )
 
     rows_in = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return rows_in.mapInArrow(run, "doc_id long, text_key binary, weight long, signature binary, keys array<long>")

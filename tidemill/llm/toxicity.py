@@ -7,36 +7,37 @@ seen still shares most n-grams with what was.
 
 Training data are a bounded sample: at most `per_class[c]` labelled documents of class c, those with the smallest hash of
 their id, weighted so that classes count as in all labelled rows. Scoring covers every whole text: since the classifier is linear
-in the average, each bucket has one number, and what a word adds up to is remembered.
+in the average, each bucket has one number.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._common import filter_by_text
+from tidemill.llm._common import character_grams, filter_by_text, hash_strings, mix64, slices, split_words
 
-_WORD = re.compile(r"[^\W_]+")
+CHARACTERS = r"\p{L}\p{N}"
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def feature_hashes(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, hashes) of the whole words, then of their n-grams of 3, 4, 5 and 6 characters."""
+    yield np.arange(len(words)), mix64(hash_strings(words))
+    yield from character_grams(words, 6)[2:]
 
 
-def features_of(word: str, buckets: int) -> np.ndarray:
-    """The buckets of the marked word and of its n-grams of 3 to 6 characters."""
-    marked = f"<{word}>"
-    grams = [marked, *(marked[i : i + n] for n in range(3, 7) for i in range(len(marked) - n + 1))]
-    return np.array([xxhash.xxh32_intdigest(g) % buckets for g in grams], np.int32)
+def features_of(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of all features of all words, sorted by word."""
+    parts = list(feature_hashes(words))
+    owner, hashes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], (hashes[order] % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
@@ -50,18 +51,20 @@ class Model:
 
 def train(texts: list[str | None], toxic: np.ndarray, class_weights: dict[int, float], buckets: int = 1 << 18, size: int = 8, epochs: int = 10, rate: float = 0.3, gain: float = 30.0, blank: float = 100.0, batch: int = 64, seed: int = 7) -> Model:
     """Adagrad over the embedding table and the softmax layer at once; the same inputs give the same model."""
-    known: dict[str, np.ndarray] = {}
     bags, labels = [], []
-    for text, label in zip(texts, toxic, strict=True):
-        words = words_of(text)
-        for w in words:
-            if w not in known:
-                known[w] = features_of(w, buckets)
-        if words:
-            ids, counts = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
-            bags.append((ids, (counts * (gain / (counts.sum() + blank))).astype(np.float32)))
-            labels.append(int(label))
-    known.clear()
+    for at in range(0, len(texts), 64):
+        words, which, whose = split_words(pa.array(texts[at : at + 64], pa.large_string()), CHARACTERS)
+        owner, bucket = features_of(words, buckets)
+        first = np.searchsorted(owner, np.arange(len(words) + 1))
+        for k, label in enumerate(toxic[at : at + 64]):
+            own, often = np.unique(which[whose == k], return_counts=True)
+            if len(own):
+                ids = np.concatenate([bucket[first[w] : first[w + 1]] for w in own])
+                total = np.repeat(often, np.diff(first)[own])
+                ids, where = np.unique(ids, return_inverse=True)
+                counts = np.bincount(where, total)
+                bags.append((ids.astype(np.int32), (counts * (gain / (counts.sum() + blank))).astype(np.float32)))
+                labels.append(int(label))
     y = np.array(labels, int)
     if not len(y) or len(np.unique(y)) < 2:
         share = float(np.mean(toxic)) if len(toxic) else 0.0
@@ -122,31 +125,18 @@ def in_training(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) != 0
 
 
-class Scorer:
-    MEMORY = 300_000
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.index: dict[str, int] = {}
-        self.sums = np.zeros((4096, 2))
-
-    def score(self, text: str | None) -> float:
-        words = words_of(text)
-        model = self.model
-        total = count = 0.0
-        if words:
-            if len(self.index) > self.MEMORY:
-                self.index.clear()
-            index = self.index
-            for w in {w for w in words if w not in index}:
-                if len(index) == len(self.sums):
-                    self.sums = np.vstack([self.sums, np.zeros_like(self.sums)])
-                ids = features_of(w, len(model.weights))
-                self.sums[len(index)] = model.weights[ids].sum(dtype=np.float64), len(ids)
-                index[w] = len(index)
-            total, count = self.sums[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        logit = total / (count + model.blank) + model.bias
-        return float(1 / (1 + np.exp(-max(-500.0, min(500.0, logit)))))
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """The chance of being toxic of each whole text."""
+    n = len(texts)
+    words, which, whose = split_words(texts, CHARACTERS)
+    total, count = np.zeros(n), np.zeros(n)
+    if len(which):
+        sums, sizes = np.zeros(len(words)), np.zeros(len(words))
+        for owner, hashes in feature_hashes(words):
+            sums += np.bincount(owner, model.weights[(hashes % np.uint64(len(model.weights))).astype(np.int64)], len(words))
+            sizes += np.bincount(owner, minlength=len(words))
+        total, count = np.bincount(whose, sums[which], n), np.bincount(whose, sizes[which], n)
+    return 1 / (1 + np.exp(-np.clip(total / (count + model.blank) + model.bias, -500, 500)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -158,18 +148,16 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        for b in batches:
-            scorer = scorer or Scorer(shared.value)
-            got = [scorer.score(t) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(f"__k{i}") for i in range(len(keep))), pa.array(got, pa.float64()), pa.array([int(g >= 0.5) for g in got], pa.int32())], names=[*keep, "score", "predicted"])
+        for b in slices(batches, "__text"):
+            got = scores(shared.value, b.column("__text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(f"__k{i}") for i in range(len(keep))), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     out = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(docs["text"].alias("__text"), *(docs[c].alias(f"__k{i}") for i, c in enumerate(keep))).mapInArrow(run, out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3500, 2000), **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 2000), **options) -> Model:
     """Fit on labelled documents outside the held-out fold. Without labels of both classes the score is constant."""
     texts, toxic, weights = sample(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), labels, per_class)
     return train(texts, toxic, weights, **options)
@@ -187,7 +175,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
-        scorer = Scorer(shared.value)
-        return lambda texts: [scorer.score(t) < 0.5 for t in texts]
+        return lambda texts: scores(shared.value, texts) < 0.5
 
     return filter_by_text(docs, judge)
