@@ -18,8 +18,7 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm._common import shared_dir
+from tidemill.llm._common import hash_strings, shared_dir
 
 #: Space to str.split() but not to the library's \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -37,19 +36,57 @@ _PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _NUMERALS = re.compile("[\u00b2\u00b3\u00b9\u00bc\u00bd\u00be]")
 
 
+class Known:
+    """Strings and their ids, as arrays: looked up by hash and compared in full, some 50 bytes each. Beyond `most` it starts anew."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted, and which row each is
+        self.strings = pa.array([], pa.large_string())
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.barred = np.zeros(0, "<u4"), np.zeros(0, bool)
+
+    def find(self, strings: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The row of each string, or -1."""
+        if not len(self.hashes):
+            return np.full(len(strings), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        row = np.where(self.hashes[at] == hashes, self.rows[at], -1)
+        on = np.flatnonzero(row >= 0)
+        same = pc.equal(self.strings.take(pa.array(row[on])), strings.take(pa.array(on))).to_numpy(zero_copy_only=False)
+        row[on[~same]] = -1
+        return row
+
+    def add(self, strings: pa.Array, hashes: np.ndarray, ids: list[bytes | None]) -> np.ndarray:
+        """Rows for new strings. None for ids bars whatever text holds the string."""
+        first = len(self.sizes)
+        sizes = np.array([len(x or b"") // 4 for x in ids], np.int64)
+        rows = np.arange(first, first + len(ids))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(x or b"" for x in ids), "<u4")])
+        self.barred = np.concatenate([self.barred, np.array([x is None for x in ids], bool)])
+        self.strings = pa.concat_arrays([self.strings, strings])
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.rows = np.insert(self.hashes, at, hashes[order]), np.insert(self.rows, at, rows[order])
+        return rows
+
+
 class Encoder:
     """encode(texts) -> for each text the bytes of its ids as little-endian uint32.
 
     Where the vocabulary file drops white space, lowers case and byte-encodes runs of letters, runs are encoded once and
     remembered; any other file gets whole texts."""
 
-    def __init__(self, path: str, memory: int = 20_000, longest: int = 12):
+    def __init__(self, path: str, memory: int = 700_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.memory, self.longest = Tokenizer.from_file(path), memory, longest  # longer runs seldom come again
-        self.words: dict[str, bytes | None] = {}
-        self.runs: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.runs = Known(memory), Known(memory // 2)
         file = json.loads(self.tokenizer.to_str())
         before, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
         kinds = [x["type"] for x in before.get("normalizers", ())], [x["type"] for x in split.get("pretokenizers", ())]
@@ -64,81 +101,71 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, new: set[str]) -> None:
-        """New runs of lower-case texts whose stops stand alone. None marks a run with punctuation at an end: next to a stop it
+    def _words(self, new: list[str]) -> list[bytes | None]:
+        """Ids of runs of lower-case texts whose stops stand alone. None for a run with punctuation at an end: next to a stop it
         might be one pre-token with it, so such a text is cut at spaces only."""
-        words, pieces, tokenize, spelling, other = self.words, self.pieces, self.model.tokenize, self.spelling, []
+        pieces, tokenize, spelling, stops = self.pieces, self.model.tokenize, self.spelling, self.stops
+        out: list[bytes | None] = []
+        other = []
         for w in new:
             if w.isalpha():  # normal, and one pre-token: the library's model takes it as it is
-                words[w] = b"".join([pieces[t.id] for t in tokenize(w if w.isascii() else w.translate(spelling))])
-            elif w in self.stops:
-                words[w] = self.stops[w]
-            elif w[0].isalnum() and w[-1].isalnum():
-                other.append(w)
+                out.append(b"".join([pieces[t.id] for t in tokenize(w if w.isascii() else w.translate(spelling))]))
+            elif not w or w in stops:
+                out.append(stops.get(w, b""))
+            else:
+                out.append(None)
+                if w[0].isalnum() and w[-1].isalnum():
+                    other.append(len(out) - 1)
+        for i, ids in zip(other, self._whole([new[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def _runs(self, new: list[str]) -> list[bytes]:
+        """Ids of runs of characters between spaces. In Latin-1 the vocabulary's pre-tokens can be told apart here."""
+        parts, other = {}, []
+        for run in new:
+            if not run or ((run.isascii() or max(run) < "\u0100") and "<|" not in run and not _NUMERALS.search(run)):
+                parts[run] = _PRE_TOKENS.findall(run.lower())
             else:
-                words[w] = None
-        words.update(zip(other, self._whole(other), strict=True))
+                other.append(run)
+        distinct = list({p for some in parts.values() for p in some})
+        letters = [p for p in distinct if p.isalpha()]
+        marks = [p for p in distinct if not p.isalpha()]
+        ids = dict(zip(letters, self._words(letters), strict=True)) | dict(zip(marks, self._whole(marks), strict=True))
+        whole = dict(zip(other, self._whole(other), strict=True))
+        return [whole[run] if run in whole else b"".join([ids[p] for p in parts[run]]) for run in new]
 
     def _texts_by_words(self, texts: list[str]) -> list[bytes | None]:
         """Ids of Latin-1 texts, in which lower case is the same everywhere; None where a text has to be cut at spaces only."""
         apart = pa.array(texts, pa.large_string())
         for stop in self.stops:
             apart = pc.replace_substring(apart, stop, f" {stop} ")
-        return self._assembled(pc.utf8_lower(apart), self.words, self._learn_words)
+        return self._assembled(pc.utf8_lower(apart), self.words, self._words)
 
     def _texts_by_runs(self, texts: list[str]) -> list[bytes | None]:
-        return self._assembled(pa.array(texts, pa.large_string()), self.runs, self._learn_runs)
+        return self._assembled(pa.array(texts, pa.large_string()), self.runs, self._runs)
 
-    def _assembled(self, texts: pa.Array, known: dict, learn) -> list[bytes | None]:
+    def _assembled(self, texts: pa.Array, known: Known, learn: Callable[[list[str]], list]) -> list[bytes | None]:
         """Split at spaces, look each distinct run up once, and join the ids of the runs of each text as arrays."""
         lists = pc.utf8_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        which, distinct, bounds = coded.indices.to_numpy(), coded.dictionary.to_pylist(), lists.offsets.to_numpy()
-        known[""] = b""
-        new = set(distinct) - known.keys()
-        learn(new)
-        pieces = list(map(known.__getitem__, distinct))
-        self._forget(known, new)
-        barred = np.array([p is None for p in pieces], bool)
-        pieces = [p or b"" for p in pieces]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        ids = np.frombuffer(b"".join(pieces), "<u4")
-        each = sizes[which]
+        which, distinct, bounds = coded.indices.to_numpy(), coded.dictionary, lists.offsets.to_numpy()
+        if len(known.sizes) > known.most:
+            known.clear()
+        hashes = hash_strings(distinct)
+        row = known.find(distinct, hashes)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            strings = distinct.take(pa.array(new))
+            row[new] = known.add(strings, hashes[new], learn(strings.to_pylist()))
+        each = known.sizes[row][which]
         ends = np.concatenate([[0], np.cumsum(each)])
-        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        flat = known.ids[np.repeat(known.starts[row][which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
         cuts = (4 * ends[bounds]).tolist()
-        bad = np.concatenate([[0], np.cumsum(barred[which])])[bounds]
+        bad = np.concatenate([[0], np.cumsum(known.barred[row][which])])[bounds]
         return [None if y > x else flat[c:d] for c, d, x, y in zip(cuts, cuts[1:], bad, bad[1:], strict=False)]
 
-    def _learn_runs(self, new: set[str]) -> None:
-        """New runs of characters between spaces. In Latin-1 the vocabulary's pre-tokens can be told apart here."""
-        runs, words, marks, other, parts = self.runs, self.words, self.marks, [], {}
-        for run in new:
-            if (run.isascii() or max(run) < "\u0100") and "<|" not in run and not _NUMERALS.search(run):
-                parts[run] = _PRE_TOKENS.findall(run.lower())
-            else:
-                other.append(run)
-        self._learn_words({p for some in parts.values() for p in some if p.isalpha() and p not in words})
-        loose = list({p for some in parts.values() for p in some if not p.isalpha() and p not in marks})
-        if len(marks) > 100_000:
-            marks.clear()
-            loose = list({p for some in parts.values() for p in some if not p.isalpha()})
-        marks.update(zip(loose, self._whole(loose), strict=True))
-        for run, some in parts.items():
-            runs[run] = b"".join([words[p] if p.isalpha() else marks[p] for p in some])
-        runs.update(zip(other, self._whole(other), strict=True))
-
-    def _forget(self, known: dict, new: set[str]) -> None:
-        """Long runs go at once; beyond the bound the half goes that came last, as frequent words come early."""
-        for c in new:
-            if len(c) > self.longest:
-                known.pop(c, None)
-        if len(known) > self.memory:
-            kept = list(islice(known.items(), self.memory // 2))
-            known.clear()
-            known.update(kept)
-
-    def encode(self, texts: Iterable[str | None], most: int = 4_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], most: int = 3_000_000) -> Iterator[bytes]:
         """Texts are taken in blocks of about `most` characters."""
         block, size = [], 0
         for t in texts:
