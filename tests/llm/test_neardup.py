@@ -60,6 +60,11 @@ def test_chains_and_crowds(spark):
     check(spark.createDataFrame(rows(*pairs), SCHEMA))
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b, c = (words(k, 40) for k in (71, 72, 73))
+    check(spark.createDataFrame(rows((1, a), (1, b), (1, None), (2, b), (3, a + " more"), (4, c), (4, c), (5, None), (5, None)), SCHEMA))
+
+
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     test_chains_and_crowds(spark)

@@ -249,6 +249,16 @@ def across(members: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataF
     return cut(rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long, similarity double"))
 
 
+def one_text_each(named: DataFrame) -> DataFrame:
+    """doc_id, text with one row for each doc_id: where several share one, the smallest of their texts. Only ids are counted first."""
+    again = cut(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return named
+    repeated = small_side(again)
+    one = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return named.join(repeated, "doc_id", "left_anti").unionByName(one)
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = 5) -> DataFrame:
     """doc_id, class_id, representative (the smallest doc_id of its class), links of every document.
 
@@ -259,13 +269,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     named by an id. Repeated rows of one doc_id are one document, with the smallest of its texts. Other columns aren't read.
     """
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("doc_id is not null")
+    named = one_text_each(named)
     signed = cut(sign(named, bands, rows, words))
-    ids = signed.groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
-    heads = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("head"))
-    copies = cut(ids.join(heads, "text_key", "left").select("doc_id", F.coalesce("head", "doc_id").alias("head")))
+    # Written down, so that the join is between plain tables and Spark can split the rows of a text with very many copies.
+    heads = cut(signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("head")))
+    copies = cut(signed.select("doc_id", "text_key").join(heads, "text_key", "left").select("doc_id", F.coalesce("head", "doc_id").alias("head")))
     # One row for each text: the row of its head.
-    alone = signed.join(heads, ["text_key"]).where("doc_id = head").drop("head", "text_key").dropDuplicates(["doc_id"])
-    alone = cut(alone.where("weight > 0"))
+    alone = cut(signed.where("weight > 0").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").drop("text_key"))
     buckets = alone.select("doc_id", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
     members = cut(buckets.join(leaders, "bucket"))
