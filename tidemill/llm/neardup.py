@@ -271,11 +271,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("doc_id is not null")
     named = one_text_each(named)
     signed = cut(sign(named, bands, rows, words))
-    # Written down, so that the join is between plain tables and Spark can split the rows of a text with very many copies.
-    heads = cut(signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("head")))
+    heads = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("head"))
     copies = cut(signed.select("doc_id", "text_key").join(heads, "text_key", "left").select("doc_id", F.coalesce("head", "doc_id").alias("head")))
     # One row for each text: the row of its head.
-    alone = cut(signed.where("weight > 0").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").drop("text_key"))
+    alone = cut(signed.join(heads, "text_key").where("doc_id = head and weight > 0").drop("head", "text_key"))
     buckets = alone.select("doc_id", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
     members = cut(buckets.join(leaders, "bucket"))
