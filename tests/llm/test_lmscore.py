@@ -68,3 +68,15 @@ def test_messy(spark, messy, empty):
     assert {r["doc_id"] for r in got if r["difference"] is None} == {3, 4, 5, None} and sum(r["n_tokens"] == 0 for r in got) == 4
     assert lmscore.cross_entropy_difference(empty, labels, slots=16).count() == 0
     assert lmscore.cross_entropy_difference(messy, labels.limit(0), slots=1 << 12).count() == messy.count()
+
+
+def test_every_word_and_pair_counts_for_itself(spark):
+    """More words and pairs than any fixed table once held (30,000 words, 2**20 slots), and chunks that share them."""
+    rng = np.random.default_rng(7)
+    docs = [(k, " ".join(f"w{x}" for x in np.concatenate([rng.integers(0, 60_000, 9_000), rng.integers(0, 50, 300)]))) for k in range(150)]
+    labels = spark.createDataFrame([(k, int(k < 40), 0) for k in range(150)], LABELS)
+    got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(spark.createDataFrame(rows(*docs), SCHEMA), labels, chunk_tokens=50_000).collect()}
+    want = brute(docs, set(range(40)))
+    assert got.keys() == want.keys()
+    for i, (d, n) in want.items():
+        assert got[i]["n_tokens"] == n and abs(got[i]["difference"] - d) < 1e-6

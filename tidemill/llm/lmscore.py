@@ -5,157 +5,208 @@ comparable. A document's score is the mean over its tokens of (target loss - bac
 the document is like the target. A model's chance of a word after another is interpolated:
   P(w | v) = (c(v, w) + a * P(w)) / (c(v) + a),   P(w) = (c(w) + 1) / (N + V).
 
-All documents are counted, in parallel, each task giving one row for each n-gram of its part. The vocabulary is the `words`
-most frequent words of all documents; any other word is the unknown word. Counts of bigrams are kept in `slots` slots by a
-hash of the word pair, so the models have a fixed size whatever the corpus; pairs that share a slot share its count.
+The vocabulary is every word of all documents and the unknown word; every word and every pair has a count of its own, so the
+models grow with the input. Each task turns its documents into chunks of about two million tokens. A chunk asks once for each
+distinct word and pair that it has, by a 64-bit hash, and says how often it has it; the requests are dealt by ranges of the
+hash into buckets of bounded size, in which all chunks' counts are added up and sent back to the chunks. A chunk then has the
+exact counts of all its words and pairs, and scores its documents. However common a word or pair is, it's asked for at most
+once by a chunk, so no bucket grows with it, and nothing of the models is held in the driver or broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm._common import cut, mix64, slices, small_side, word_hashes_of
 
 START = np.uint64(0x5851F42D4C957F2D)
+WEIGHT = 2.0
+#: Tokens and documents of a chunk, and bytes of text for each bucket of requests.
+CHUNK_TOKENS, CHUNK_DOCS, BUCKET_BYTES = 2_000_000, 100_000, 8_000_000
+OWN, WORDS, PAIRS = 0, 1, 2
+CHUNKS = "chunk long, kind int, bucket int, keys binary, background binary, target binary, tokens long, target_tokens long, docs long, target_docs long"
+REQUESTS = "chunk long, kind int, bucket int, keys binary, background binary, target binary"
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
 
 
-@dataclass
-class Models:
-    """vocabulary: sorted word hashes; number 0 is the unknown word, k + 1 the k-th of vocabulary. Row 0 of counts is the
-    background's, row 1 the target's."""
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit numbers, their first bytes together, then their second ones, and so on, compressed."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
-    vocabulary: np.ndarray
-    unigrams: np.ndarray  # 2 x (V + 2); the last is the start mark, which is a context only
-    slots: np.ndarray  # 2 x slots
-    weight: float = 2.0
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.searchsorted(self.vocabulary, hashes)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+def _unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    raw = pa.decompress(data[8:], n * 8, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view(kind)
 
-    def losses(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """-log P(word | before) of each pair: a row for the background and one for the target."""
-        totals = self.unigrams[:, :-1].sum(axis=1, keepdims=True)
-        single = (self.unigrams[:, word] + 1.0) / (totals + self.unigrams.shape[1] - 1)
-        pair = self.slots[:, slot_of(before, word, self.slots.shape[1])]
-        # A context's count is the larger of its own and the pair's, which a shared slot may exceed.
-        return -np.log((pair + self.weight * single) / (np.maximum(self.unigrams[:, before], pair) + self.weight))
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
-def slot_of(before: np.ndarray, word: np.ndarray, slots: int) -> np.ndarray:
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+
+
+def pair_keys(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A key for each word and the one before it; the start mark stands before the words at starts."""
+    if not len(words):
+        return words
+    before = np.concatenate([[START], words[:-1]])
+    before[starts] = START
     with np.errstate(over="ignore"):
-        return (mix64(before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
+        return mix64(mix64(before) * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where the texts that have words begin."""
+    return (np.cumsum(sizes) - sizes)[sizes > 0]
+
 
+def _requests(chunk: int, kind: int, keys: np.ndarray, which: np.ndarray, target: np.ndarray, buckets: int) -> list[tuple]:
+    """keys are distinct and in order; which says for each token the place of its key."""
+    counts = np.bincount(which, minlength=len(keys)), np.bincount(which[target], minlength=len(keys))
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bounds = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    return [(chunk, kind, b, _pack_sorted(keys[x:y]), _pack(counts[0][x:y]), _pack(counts[1][x:y])) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if x < y]
 
-def vocabulary(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of the most frequent words of all documents; ties go to the smaller hash."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.record_batch([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+
+def _chunk(chunk: int, ids: list, targets: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """The chunk's own row: its distinct words, the number of each token's word; size, id, and flags of each document."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    good = np.array([bool(t) for t in targets])
+    words, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    flags = good.astype(np.int64) + 2 * np.array([i is not None for i in ids], np.int64)
+    about = np.concatenate([sizes, np.array([0 if i is None else i for i in ids], np.int64), flags])
+    return _batch([(chunk, OWN, -1, _pack(words), _pack(which.astype(np.int64)), _pack(about), int(sizes.sum()), int(sizes[good].sum()), int((sizes > 0).sum()), int((sizes[good] > 0).sum()))], CHUNKS)
+
+
+def chunks_of(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """All chunks of docs (doc_id, text, target; a null target counts as false)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, n = TaskContext.get().partitionId() << 32, 0
+        ids, targets, hashes = [], [], []
         for b in slices(batches, "text"):
             found = word_hashes_of(b.column("text"))
-            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            ids += b.column("doc_id").to_pylist()
+            targets += b.column("target").to_pylist()
+            hashes += found
+            n += sum(map(len, found))
+            if n >= chunk_tokens or len(ids) >= CHUNK_DOCS:
+                yield _chunk(chunk, ids, targets, hashes)
+                chunk, n, ids, targets, hashes = chunk + 1, 0, [], [], []
+        if ids:
+            yield _chunk(chunk, ids, targets, hashes)
 
-    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(words).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(top.view(np.uint64))
+    return docs.select("doc_id", "text", "target").mapInArrow(run, CHUNKS)
 
 
-def _sequence(models: Models, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of each word and of the one before it; the start mark stands before the first."""
-    word = models.numbers(hashes)
-    return np.concatenate([[len(models.vocabulary) + 1], word[:-1]]) if len(word) else word, word
+def requests(own: DataFrame, kinds: tuple[int, ...], buckets: int) -> DataFrame:
+    """What the chunks ask for; made again from their own rows whenever it's read, so it's never stored but in a shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                chunk, keys, which, about = (b.column(c)[row].as_py() for c in ("chunk", "keys", "background", "target"))
+                words, which = _unpack(keys, np.uint64), _unpack(which)
+                sizes, _, flags = _unpack(about).reshape(3, -1)
+                target = np.repeat(flags % 2 == 1, sizes)
+                for kind in kinds:
+                    found, place = (words, which) if kind == WORDS else np.unique(pair_keys(words[which], _starts(sizes)), return_inverse=True)
+                    out = _requests(chunk, kind, found, place, target, buckets)
+                    for k in range(0, len(out), 500):
+                        yield _batch(out[k : k + 500], REQUESTS)
 
-def fit(docs: DataFrame, words: int = 30_000, slots: int = 1 << 20) -> Models:
-    """Count both models over all rows. docs: text, target (boolean; null counts as false).
+    return own.select("chunk", "keys", "background", "target").mapInArrow(run, REQUESTS)
 
-    The background is every row, the target's too. The driver receives the vocabulary, and at most 2 * (words + 2 + slots)
-    counts."""
-    size = len(vocab := vocabulary(docs, words)) + 2
-    models = Models(vocab, np.zeros((2, size)), np.zeros((2, slots)))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        total = np.zeros((2, size + slots), np.int64)
-        for b in slices(batches, "text"):
-            for hashes, target in zip(word_hashes_of(b.column("text")), b.column("target").to_pylist(), strict=True):
-                before, word = _sequence(own, hashes)
-                if len(word):
-                    for row in (0, 1) if target else (0,):
-                        np.add.at(total[row], word, 1)
-                        np.add.at(total[row], size + slot_of(before, word, slots), 1)
-                        total[row, size - 1] += 1
-        at = np.flatnonzero(total[0])
-        for k in range(0, len(at), 100_000):
-            one = at[k : k + 100_000]
-            yield pa.record_batch([pa.array(one), pa.array(total[0, one]), pa.array(total[1, one])], names=["place", "background", "target"])
-
-    parts = docs.select("text", "target").mapInArrow(count, "place long, background long, target long")
-    found = parts.groupBy("place").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    for b in _batches(cut(found)):
-        place = b["place"].to_numpy()
-        for row, name in enumerate(("background", "target")):
-            n = b[name].to_numpy()
-            low = place < size
-            models.unigrams[row, place[low]] = n[low]
-            models.slots[row, place[~low] - size] = n[~low]
-    return models
+def _total(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each row of a bucket, all distinct keys in order, and their counts in all chunks: background, target."""
+    keys = [_unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.zeros((2, len(distinct)), np.int64)
+    for row, name in enumerate(("background", "target")):
+        np.add.at(counts[row], place, np.concatenate([_unpack(x) for x in table.column(name).to_pylist()]))
+    return keys, distinct, counts
 
 
-def _batches(df: DataFrame) -> Iterator:
-    """Pieces of a table of bounded size, as pandas tables, one partition at a time."""
-    columns = df.columns
-    packed = df.coalesce(16).mapInArrow(lambda bs: (pa.record_batch([[_pack(b)]], names=["data"]) for b in bs), "data binary")
-    for row in packed.toLocalIterator():
-        yield pa.ipc.open_stream(row["data"]).read_pandas()[columns]
+def distinct_words(own: DataFrame, buckets: int) -> int:
+    def run(table: pa.Table) -> pa.Table:
+        keys = [_unpack_sorted(x) for x in table.column("keys").to_pylist()]
+        return pa.table({"n": pa.array([len(np.unique(np.concatenate(keys)))], pa.int64())})
 
+    return requests(own, (WORDS,), buckets).select("bucket", "keys").groupBy("bucket").applyInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
-def _pack(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
 
+def answers(asked: DataFrame) -> DataFrame:
+    """For each request the counts of its keys in all documents, in the request's order."""
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means over the tokens), difference of every document's whole text.
+    def run(table: pa.Table) -> pa.Table:
+        keys, distinct, counts = _total(table)
+        at = [np.searchsorted(distinct, k) for k in keys]
+        packed = [pa.array([_pack(counts[row][k]) for k in at], pa.binary()) for row in (0, 1)]
+        return pa.table([table.column("chunk"), table.column("kind"), table.column("bucket"), pa.nulls(len(at), pa.binary()), *packed], names=["chunk", "kind", "bucket", "keys", "background", "target"])
 
-    A null text or one without words has 0 tokens, and null losses and difference. Rows that repeat each get a score."""
-    shared = docs.sparkSession.sparkContext.broadcast(Models(models.vocabulary, models.unigrams.astype(np.float32), models.slots.astype(np.float32), models.weight))
+    return asked.groupBy("kind", "bucket").applyInArrow(run, REQUESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for b in slices(batches, "text"):
-            n, losses = [], []
-            for hashes in word_hashes_of(b.column("text")):
-                before, word = _sequence(own, hashes)
-                n.append(len(word))
-                losses.append(own.losses(before, word).mean(axis=1, dtype=np.float64).tolist() if len(word) else (None, None))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([x[1] for x in losses], pa.float64()), pa.array([x[0] for x in losses], pa.float64()), pa.array([None if x[0] is None else x[1] - x[0] for x in losses], pa.float64())], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+def score(own: DataFrame, buckets: int, weight: float = WEIGHT) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means over the tokens), difference of every document of the chunks.
 
+    A null text or one without words has 0 tokens, and null losses and difference. Rows that repeat each get a score."""
+    sums = own.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "target_tokens", "docs", "target_docs"))).first()
+    totals, opened = (sums["tokens"], sums["target_tokens"]), (sums["docs"], sums["target_docs"])
+    size = distinct_words(own, buckets) + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        words, which, about = _unpack(rows[0]["keys"], np.uint64), _unpack(rows[0]["background"]), _unpack(rows[0]["target"]).reshape(3, -1)
+        sizes, ids, flags = about
+        starts, owner = _starts(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        place = np.unique(pair_keys(words[which], starts), return_inverse=True)[1]
+        means = []
+        for row, name in enumerate(("background", "target")):
+            single, pair = (np.concatenate([np.zeros(0, np.int64), *(_unpack(r[name]) for r in rows if r["kind"] == k)]) for k in (WORDS, PAIRS))
+            context = np.concatenate([[0], single[which[:-1]]]) if len(which) else which
+            context[starts] = opened[row]
+            smooth = (single[which] + 1.0) / (totals[row] + size)
+            loss = -np.log((pair[place] + weight * smooth) / (context + weight))
+            means.append(np.bincount(owner, loss, len(sizes)) / np.maximum(sizes, 1))
+        none = sizes == 0
+        values = [pa.array(v, pa.float64(), mask=none) for v in (means[1], means[0], means[1] - means[0])]
+        return pa.table([pa.array(ids, pa.int64(), mask=flags < 2), pa.array(sizes, pa.int64()), *values], names=[c.split()[0] for c in SCORES.split(", ")])
+
+    mine = own.select("chunk", "kind", "bucket", "keys", "background", "target")
+    return mine.unionByName(answers(requests(own, (WORDS, PAIRS), buckets))).groupBy("chunk").applyInArrow(run, SCORES)
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, words: int = 30_000, slots: int = 1 << 20) -> DataFrame:
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, slots: int | None = None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Score all documents against the target domain of those with labels.quality = 1.
 
     A label of a null doc_id counts for nothing; a document is in the target if any label of its id says so. Without any target
     the target model is uniform. Columns other than ids, texts and labels aren't read. An empty table gives an empty result.
+    slots, once the size of a hashed model, is accepted and changes nothing: all counts are exact.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("__id")).distinct()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     # Texts stay where they are if the ids of the target are few.
     marked = rows.join(small_side(good.select(F.col("__id").alias("doc_id"), F.lit(True).alias("target"))), "doc_id", "left")
-    return score(rows, fit(marked, words, slots))
-
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return score(cut(chunks_of(marked, chunk_tokens)), max(8, math.ceil(size / BUCKET_BYTES)))
