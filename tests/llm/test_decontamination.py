@@ -69,3 +69,20 @@ def test_query_against_a_plain_search(spark):
 def test_best_segment():
     equal = np.array([0, 1, 1, 0, 1, 1, 0, 0, 0, 1], bool)
     assert decontamination.best_segment(equal) == (1, 6)
+
+
+def test_every_good_segment_counts():
+    """Two exact runs of 12 words with 11 replaced between them: 24 of 35 words are too few, but each run alone is a leak."""
+    own = [f"a{k}" for k in range(35)]
+    index = decontamination.build_index([(1, " ".join(own))])
+    text = " ".join([*own[:12], *(f"x{k}" for k in range(11)), *own[23:]])
+    assert list(decontamination.find([text], index, 0.7, 10, 0.7)) == [(0, (0, 24, 0))]
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        equal = rng.random(30) < 0.6
+        want = np.zeros(30, bool)
+        for a in range(30):
+            for b in range(a + 1, 31):
+                if equal[a:b].sum() >= max(5, 0.7 * (b - a) - 1e-9):
+                    want[a:b] |= equal[a:b]
+        assert (decontamination.good_words(equal, 0.7, 5) == want).all()

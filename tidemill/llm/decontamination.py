@@ -3,8 +3,8 @@
 A seed is a fixed mask over a window of words; only the words at its ones are hashed, so a word replaced at a zero doesn't
 hide a match. Hashes of all windows of the benchmark are looked up with those of all windows of every document. Each hit
 names an item and a diagonal (where the item would start in the document); along that diagonal words are compared one by one,
-and the best segment, +1 for an equal word and -1 for another, is kept if enough of it is equal. Segments on several
-diagonals add up, so insertions and deletions only split a match.
+and every segment of which enough is equal is kept. Segments on one or several diagonals add up, so insertions and deletions
+only split a match.
 
 The benchmark's words and window hashes are broadcast in chunks of a checked size: a benchmark beyond the limit is dealt into
 several, each with a pass of its own over the documents. Nothing is shuffled but the benchmark.
@@ -88,6 +88,21 @@ def best_segment(equal: np.ndarray) -> tuple[int, int]:
     return int(sums[: end + 1].argmin()), end
 
 
+def good_words(equal: np.ndarray, identity: float, least: int) -> np.ndarray:
+    """Which equal words are in any segment with at least `least` equal words that are at least `identity` of it.
+
+    With each start goes the furthest end that reaches the identity, which also has the most equal words."""
+    matched = np.concatenate([[0], np.cumsum(equal)])
+    sums = matched - identity * np.arange(len(matched))
+    after = np.maximum.accumulate(sums[::-1])  # the largest sum from the k-th place from the end on
+    ends = len(sums) - 1 - np.searchsorted(after, sums - 1e-9)
+    starts = np.flatnonzero(matched[ends] - matched >= max(least, 1))
+    inside = np.zeros(len(sums), np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends[starts], -1)
+    return equal & (np.cumsum(inside)[:-1] > 0)
+
+
 def overlaps(words: np.ndarray, hits: set[tuple[int, int]], index: Index, identity: float, least: int, share: float) -> Iterator[tuple]:
     """(item number, words of the item that match, first matching word of the document) of each overlap that is confirmed."""
     by_item: dict[int, list[int]] = {}
@@ -99,11 +114,11 @@ def overlaps(words: np.ndarray, hits: set[tuple[int, int]], index: Index, identi
         for diagonal in sorted(by_item[item]):
             low, high = max(0, -diagonal), min(len(own), len(words) - diagonal)
             equal = own[low:high] == words[low + diagonal : high + diagonal]
-            a, b = best_segment(equal)
-            matched = int(equal[a:b].sum())
-            if matched >= min(5, len(own)) and matched >= identity * (b - a):
-                covered[low + a : low + b] |= equal[a:b]
-                first = low + a + diagonal if first is None else min(first, low + a + diagonal)
+            good = good_words(equal, identity, min(5, len(own)))
+            if good.any():
+                covered[low:high] |= good
+                start = low + int(good.argmax()) + diagonal
+                first = start if first is None else min(first, start)
         matched = int(covered.sum())
         if matched >= min(least, math.ceil(share * len(own))):
             yield item, matched, first
