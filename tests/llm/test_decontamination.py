@@ -86,3 +86,18 @@ def test_every_good_segment_counts():
                 if equal[a:b].sum() >= max(5, 0.7 * (b - a) - 1e-9):
                     want[a:b] |= equal[a:b]
         assert (decontamination.good_words(equal, 0.7, 5) == want).all()
+
+
+def test_every_allowed_pattern_has_a_hit():
+    """All patterns of 5 to 14 words with 0.7 equal; an item with every 4th word replaced; a short one with a word replaced."""
+    for n in range(5, 15):
+        for code in range(1 << n):
+            bits = f"{code:0{n}b}"
+            if bits.count("1") >= max(5, 0.7 * n):
+                assert any(all(bits[a + i] == "1" for i, on in enumerate(m) if on == "1") for m in decontamination.MASKS for a in range(n - len(m) + 1)), bits
+    rng = np.random.default_rng(2)
+    for n, replaced in [(40, range(3, 40, 4)), (8, [3]), *((n, rng.choice(n, r, replace=False)) for n, r in ((15, 3), (16, 3), (18, 4), (20, 4)) for _ in range(50))]:
+        own = [f"a{k}" for k in range(n)]
+        index = decontamination.build_index([(1, " ".join(own))])
+        text = " ".join(f"x{k}" if k in set(replaced) else w for k, w in enumerate(own))
+        assert len(list(decontamination.find(["other words", text], index, 0.7, 10, 0.7))) == 1

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._common import mix64, slices, small_side, word_hashes, word_hashes_of
 
-MASKS = ("11101101011", "110110010111", "1101001110101")
+#: Any segment with 5 equal words or more that are 0.7 of it has a hit: without "111", "1101" and "1011", runs of two words stand
+#: at least two others apart and single ones one apart, so 5 equal words need 8 at least, and more never reach 0.7.
+MASKS = ("111", "1101", "1011")
 #: Bytes of benchmark text that are broadcast at once.
 CHUNK_BYTES = 16_000_000
 BITMAP = 1 << 22
@@ -57,27 +59,24 @@ class Index:
 
 
 def build_index(rows: list[tuple[int, str | None]], masks: tuple[str, ...] = MASKS, shortest: int = 5) -> Index:
-    """An item shorter than a mask gets a mask of ones of its own length; one of fewer than `shortest` words gets none."""
+    """An item of fewer than `shortest` words has no windows."""
     ids, words = [], []
     for item, text in rows:
         w = word_hashes(text)
         if len(w) >= shortest:
             ids.append(item)
             words.append(w)
-    longest = max(map(len, masks))
-    all_masks = [*masks, *("1" * n for n in sorted({len(w) for w in words if len(w) < longest}))]
     bitmap = np.zeros(BITMAP, bool)
     hashes, items, places = [], [], []
-    for salt, mask in enumerate(all_masks):
-        whole = mask not in masks  # of one length only
-        parts = [(k, window_hashes(w, mask, salt)) for k, w in enumerate(words) if not whole or len(w) == len(mask)]
+    for salt, mask in enumerate(masks):
+        parts = [(k, window_hashes(w, mask, salt)) for k, w in enumerate(words)]
         h = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         hashes.append(h[order])
         items.append(np.concatenate([np.full(len(p[1]), p[0], np.int64) for p in parts])[order] if parts else np.zeros(0, np.int64))
         places.append(np.concatenate([np.arange(len(p[1])) for p in parts])[order] if parts else np.zeros(0, np.int64))
         bitmap[(h & np.uint64(BITMAP - 1)).astype(np.int64)] = True
-    return Index(ids, words, all_masks, hashes, items, places, bitmap)
+    return Index(ids, words, list(masks), hashes, items, places, bitmap)
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
@@ -124,25 +123,59 @@ def overlaps(words: np.ndarray, hits: set[tuple[int, int]], index: Index, identi
             yield item, matched, first
 
 
-def find(texts: list[str | None] | pa.Array, index: Index, identity: float, least: int, share: float) -> Iterator[tuple[int, tuple]]:
-    """(number of the text, overlap) of every confirmed overlap; hashing runs over all texts at once."""
-    words = word_hashes_of(texts)
-    sizes = np.array([len(w) for w in words])
-    ends = np.cumsum(sizes)
+def diagonals(words: list[np.ndarray], index: Index, least: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item and diagonal of each distinct hit, of those items only of which enough words are equal on all diagonals hit."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    begins = np.cumsum(sizes) - sizes
     flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    hits: dict[int, set[tuple[int, int]]] = {}
+    owner = np.repeat(np.arange(len(words)), sizes)
+    none = np.zeros(0, np.int64)
+    hits = []
     for k, mask in enumerate(index.masks):
         h = window_hashes(flat, mask, k)
         at = np.flatnonzero(index.bitmap[(h & np.uint64(BITMAP - 1)).astype(np.int64)])
-        if not len(at):
-            continue
+        at = at[owner[at] == owner[at + len(mask) - 1]]  # not those that run into the next text
         low, high = np.searchsorted(index.hashes[k], h[at]), np.searchsorted(index.hashes[k], h[at], side="right")
-        for place, x, y in zip(at[low < high], low[low < high], high[low < high], strict=True):
-            text = int(np.searchsorted(ends, place, side="right"))
-            if place + len(mask) > ends[text]:
-                continue  # the window runs into the next text
-            inside = int(place - (ends[text] - sizes[text]))
-            hits.setdefault(text, set()).update((int(i), inside - int(p)) for i, p in zip(index.items[k][x:y], index.places[k][x:y], strict=True))
+        n = high - low
+        entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        hits.append((owner[at], index.items[k][entry], at - begins[owner[at]] - index.places[k][entry]))
+    text, item, diagonal = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (none, none, none)
+    if not len(text):
+        return none, none, none
+    lengths = np.array([len(w) for w in index.words], np.int64)
+    own = np.concatenate(index.words)
+    own_begins = np.cumsum(lengths) - lengths
+    span, shift = int(sizes.max() + lengths.max() + 1), int(lengths.max())
+    key = np.unique((text * len(lengths) + item) * span + diagonal + shift)
+    pair, diagonal = key // span, key % span - shift
+    text, item = pair // len(lengths), pair % len(lengths)
+    low, high = np.maximum(0, -diagonal), np.minimum(lengths[item], sizes[text] - diagonal)
+    n = high - low
+    equal = np.zeros(len(n), np.int64)
+    ends, at = np.cumsum(n), 0
+    while at < len(n):  # about a million words at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
+        m = n[at:to]
+        starts = np.cumsum(m) - m
+        k = np.arange(m.sum()) - np.repeat(starts - low[at:to], m)
+        same = own[np.repeat(own_begins[item[at:to]], m) + k] == flat[np.repeat(begins[text[at:to]] + diagonal[at:to], m) + k]
+        equal[at:to] = np.add.reduceat(same.astype(np.int64), starts)
+        at = to
+    kept = equal >= np.minimum(5, lengths[item])
+    text, item, diagonal, pair, equal = text[kept], item[kept], diagonal[kept], pair[kept], equal[kept]
+    _, place = np.unique(pair, return_inverse=True)
+    needed = np.minimum(least, np.ceil(share * lengths[item]))
+    enough = np.bincount(place, equal)[place] >= needed if len(pair) else kept[:0]
+    return text[enough], item[enough], diagonal[enough]
+
+
+def find(texts: list[str | None] | pa.Array, index: Index, identity: float, least: int, share: float) -> Iterator[tuple[int, tuple]]:
+    """(number of the text, overlap) of every confirmed overlap; hashing and a first count run over all texts at once."""
+    words = word_hashes_of(texts)
+    hits: dict[int, set[tuple[int, int]]] = {}
+    for text, item, diagonal in zip(*(x.tolist() for x in diagonals(words, index, least, share)), strict=True):
+        hits.setdefault(text, set()).add((item, diagonal))
     for text in sorted(hits):
         for found in overlaps(words[text], hits[text], index, identity, least, share):
             yield text, found
@@ -179,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, identity: float = 0.7, least: i
 def _pass(rows: DataFrame, shared, identity: float, least: int, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for b in slices(batches, "text", 1_000_000):
+        for b in slices(batches, "text", 250_000):
             ids, got = b.column("doc_id").to_pylist(), []
             for text, (item, matched, first) in find(b.column("text"), index, identity, least, share):
                 got.append((ids[text], index.ids[item], matched, len(index.words[item]), first))
