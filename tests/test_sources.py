@@ -1,3 +1,4 @@
+import base64
 import io
 import json
 import zipfile
@@ -146,3 +147,19 @@ def test_documents(spark, tmp_path):
 
 def test_palmdoc():
     assert documents.palmdoc(b"abc\x80\x1bd\xe8\x02\xff\xfe") == b"abc" + b"abcabc" + b"d" + b" h" + b"\xff\xfe"
+
+
+def pdf(*streams):
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n<<%s>>\nstream\n%s\nendstream\nendobj" % (i, head, body) for i, (head, body) in enumerate(streams, 1))
+
+
+def test_pdf_filters():
+    show = lambda t: b"BT (" + t + b") Tj ET"
+    run = lambda x: bytes([len(x) - 1]) + x + b"\x80"
+    a85 = lambda x: base64.a85encode(x) + b"~>"
+    image = (b"/Subtype/Image/Filter/DCTDecode", b"\xff\xd8")
+    data = pdf((b"/Length 9", show(b"plain")), (b"/Filter/ASCIIHexDecode", show(b"hex").hex().encode() + b">"), (b"/Filter [/ASCII85Decode /FlateDecode]", a85(zlib.compress(show(b"chain")))), (b"/Filter/RunLengthDecode", run(show(b"runs"))), image)
+    assert documents.pdf_text(data).split("\n") == ["plain", "hex", "chain", "runs"]
+    for head, body in ((b"/Filter/LZWDecode", b"x"), (b"/Filter/FlateDecode", b"not deflated"), (b"/Filter/FlateDecode", zlib.compress(show(b"cut short"))[:-8]), (b"/Filter 9 0 R", b"x")):
+        with pytest.raises(ValueError, match="can't be decoded"):
+            documents.pdf_text(pdf((b"/Length 9", show(b"plain")), (head, body)))
