@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,58 +12,63 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+from tidemill.shared import cut, shared_dir
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder is chosen."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, and lost executors cost nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_dir"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_side(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """A table of ids, broadcast if it has at most `most` rows (16 MB), else left to a shuffle join."""
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A narrow table, broadcast if it has at most `most` rows (a few dozen bytes each), else left to a shuffle join."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
 
+def give_back() -> None:
+    """Return freed memory to the system; Arrow's pool and the C heap would keep what one batch has used for the next."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a text column has about `most` bytes in each."""
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text column has about `most` bytes in each; memory is given back after each batch."""
     for b in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
-        at = 0
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
-            yield b.slice(at, to - at)
-            at = to
+        for part in parts_of(b.column(column), most):
+            yield b.slice(part.start, part.stop - part.start)
+        del b
+        give_back()
 
 
-def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
-    """The rows of docs, with all columns whatever their names, whose texts are accepted. judge() runs once for each task."""
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    text = f"c{names.index('text')}"
+def parts_of(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Ranges of rows with about `most` bytes of text in each, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
+        yield slice(at, to)
+        at = to
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[pa.Array], np.ndarray]], most: int = 500_000) -> DataFrame:
+    """The rows of docs, with all columns whatever their names, whose texts are accepted. judge() runs once for each task.
+
+    Only texts go to Python, and one boolean for each comes back."""
+
+    @F.arrow_udf("boolean")
+    def accepted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         accepts = None
-        for b in slices(batches, text):
+        for texts in columns:
             accepts = accepts or judge()
-            yield b.filter(pa.array(accepts(b.column(text)), pa.bool_()))
+            got = [accepts(texts[part]) for part in parts_of(texts, most)]
+            yield pa.array(np.concatenate(got) if got else [], pa.bool_())
+            del texts
+            give_back()
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return docs.where(accepted(docs["text"]))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -75,11 +79,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def doc_fold(doc_id, folds: int) -> int | None:
-    """crc32 of the id as text, modulo folds; a null id has none."""
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
-
-
 _FACTOR = 0x9E3779B97F4A7C15
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
