@@ -43,3 +43,13 @@ def test_empty(empty):
 def test_query(spark):
     got = queries.op1_sharding(spark, "/root/testdata/sf0.001").collect()
     assert all(r["shard"] == jump(r["doc_id"], 40) for r in got)
+
+
+def test_slots_dont_depend_on_the_order_of_rows(spark):
+    """Rows that share an id and a size but not a text keep their slots."""
+    pairs = [(7, f"{k:04d}") for k in range(60)] + [(None, f"{k:04d}") for k in range(60)]
+    runs = []
+    for own in (pairs, pairs[::-1]):
+        got = sharding.shard_documents(spark.createDataFrame(rows(*own), SCHEMA).repartition(7), shards=4, buckets=2).collect()
+        runs.append({(r["doc_id"], r["text_crc32"]): (r["shard"], r["slot"]) for r in got})
+    assert runs[0] == runs[1] and len(runs[0]) == 120

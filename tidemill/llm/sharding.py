@@ -71,7 +71,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, buckets: int = 1024) -> D
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     numbered = rows.withColumn("place", F.row_number().over(inside) - 1)
     out = numbered.join(F.broadcast(starts), ["shard", "bucket"])  # at most shards * buckets rows of 24 bytes
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard")
