@@ -3,7 +3,7 @@
 Encoding. The tokenizers library encodes each run of non-space characters once and the runs' ids are joined. That gives the
 ids of the whole text: the vocabulary's pre-tokenizer drops white space and none of its patterns crosses it, and neither
 NFC nor lower case looks across a space. A text with a control character that Python and the library class differently as
-space is encoded whole.
+space is encoded whole, and so is one that holds a token that the file adds to the vocabulary, in whatever case.
 
 Token files. Each task writes one range of documents in order: `<name>.arrow` has record batches of fixed-size lists, `ids`
 and `mask`, all of one sequence length, and `<name>.docs.arrow` has each document's id, start and length in that stream. Ids
@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm._common import hash_strings, shared_dir
+from tidemill.llm._common import give_back, hash_strings, shared_dir
 
 #: Space to str.split() but not to the library's \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -37,7 +38,7 @@ _NUMERALS = re.compile("[\u00b2\u00b3\u00b9\u00bc\u00bd\u00be]")
 
 
 class Known:
-    """Strings and their ids, as arrays: looked up by hash and compared in full, some 50 bytes each. Beyond `most` it starts anew."""
+    """Strings and their ids, as arrays: looked up by hash and compared in full. Beyond `most` bytes it starts anew."""
 
     def __init__(self, most: int):
         self.most = most
@@ -49,6 +50,11 @@ class Known:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.barred = np.zeros(0, "<u4"), np.zeros(0, bool)
 
+    @property
+    def bytes(self) -> int:
+        arrays = (self.hashes, self.rows, self.starts, self.sizes, self.ids, self.barred)
+        return sum(x.nbytes for x in arrays) + self.strings.nbytes
+
     def find(self, strings: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """The row of each string, or -1."""
         if not len(self.hashes):
@@ -80,13 +86,14 @@ class Encoder:
     """encode(texts) -> for each text the bytes of its ids as little-endian uint32.
 
     Where the vocabulary file drops white space, lowers case and byte-encodes runs of letters, runs are encoded once and
-    remembered; any other file gets whole texts."""
+    remembered, in at most about `memory` bytes; any other file gets whole texts."""
 
-    def __init__(self, path: str, memory: int = 700_000):
+    def __init__(self, path: str, memory: int = 36_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.runs = Known(memory), Known(memory // 2)
+        self.words, self.runs = Known(memory // 2), Known(memory // 2)
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         file = json.loads(self.tokenizer.to_str())
         before, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
         kinds = [x["type"] for x in before.get("normalizers", ())], [x["type"] for x in split.get("pretokenizers", ())]
@@ -124,7 +131,7 @@ class Encoder:
         """Ids of runs of characters between spaces. In Latin-1 the vocabulary's pre-tokens can be told apart here."""
         parts, other = {}, []
         for run in new:
-            if not run or ((run.isascii() or max(run) < "\u0100") and "<|" not in run and not _NUMERALS.search(run)):
+            if not run or ((run.isascii() or max(run) < "\u0100") and not self._adds(run) and not _NUMERALS.search(run)):
                 parts[run] = _PRE_TOKENS.findall(run.lower())
             else:
                 other.append(run)
@@ -135,6 +142,11 @@ class Encoder:
         whole = dict(zip(other, self._whole(other), strict=True))
         return [whole[run] if run in whole else b"".join([ids[p] for p in parts[run]]) for run in new]
 
+    def _adds(self, text: str) -> bool:
+        """Whether a token that the file adds stands in the text, in whatever case."""
+        low = text.lower()
+        return any(t in low for t in self.added)
+
     def _texts_by_words(self, texts: list[str]) -> list[bytes | None]:
         """Ids of Latin-1 texts, in which lower case is the same everywhere; None where a text has to be cut at spaces only."""
         apart = pa.array(texts, pa.large_string())
@@ -150,7 +162,7 @@ class Encoder:
         lists = pc.utf8_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         which, distinct, bounds = coded.indices.to_numpy(), coded.dictionary, lists.offsets.to_numpy()
-        if len(known.sizes) > known.most:
+        if known.bytes > known.most:
             known.clear()
         hashes = hash_strings(distinct)
         row = known.find(distinct, hashes)
@@ -165,7 +177,7 @@ class Encoder:
         bad = np.concatenate([[0], np.cumsum(known.barred[row][which])])[bounds]
         return [None if y > x else flat[c:d] for c, d, x, y in zip(cuts, cuts[1:], bad, bad[1:], strict=False)]
 
-    def encode(self, texts: Iterable[str | None], most: int = 3_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], most: int = 1_000_000) -> Iterator[bytes]:
         """Texts are taken in blocks of about `most` characters."""
         block, size = [], 0
         for t in texts:
@@ -181,7 +193,7 @@ class Encoder:
             return self._whole(texts)
         collecting = gc.isenabled()
         gc.disable()  # many short-lived objects and no cycles
-        odd = [bool(_ODD_SPACE.search(t)) for t in texts]
+        odd = [bool(_ODD_SPACE.search(t)) or self._adds(t) for t in texts]
         plain = [not x and _latin(t) and not any(p in t for p in ("..", ",,", ".,", ",.")) for t, x in zip(texts, odd, strict=True)]
         out: list[bytes | None] = [None] * len(texts)
 
@@ -296,16 +308,27 @@ class TokenFileWriter:
         return self.docs, self.tokens
 
 
+#: The bytes of text that one task encodes, as a rule.
+FILE_BYTES = 64_000_000
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, length: int = 2048, partitions: int | None = None) -> DataFrame:
     """Encode every whole text (null: empty), append the end id, and write token files in ascending doc_id order.
 
     Returns one row for each file: name, part (files in order of doc_id), docs, tokens. A file's name is new for each attempt
     of a task, and only files that are named in the result count, so a task that is run again does no harm. Null doc_ids
-    come first; rows with equal doc_ids keep together, ordered by text. Other columns aren't read. An empty table writes none.
+    come first; rows with equal doc_ids are ordered by text, null first, and equal rows stand side by side. Very long texts take a
+    task's memory once, like others. Other columns aren't read. An empty table writes none.
+
+    Tasks get ranges of (doc_id, first characters of the text), so rows that share a doc_id, or have none, spread over tasks as
+    far as their texts differ; there are as many ranges as the texts' bytes ask for, and spark.sql.shuffle.partitions at least.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    if partitions is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    rows = rows.repartitionByRange(partitions, "doc_id", F.substring("text", 1, 48)).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -318,6 +341,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = 2
                 writer = TokenFileWriter(folder, name, length, end, max(code.tokenizer.get_vocab_size(), end + 1) > 65_536)
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), code.encode(strings(b.column("text"))), strict=True):
                 writer.add(doc_id, np.frombuffer(ids + last, "<u4"))
+            del b
+            give_back()
         if writer is not None:
             n_docs, n_tokens = writer.close()
             yield pa.record_batch([[name], pa.array([part], pa.int32()), [n_docs], [n_tokens]], names=["name", "part", "docs", "tokens"])
