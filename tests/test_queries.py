@@ -39,14 +39,5 @@ def test_query(spark, duck, name):
     assert got == want
 
 
-def test_every_query_has_sql_but_streams():
-    assert {n for n in queries.QUERIES if n not in queries.ORACLES} == {n for n in queries.QUERIES if n.endswith("_stream")}
-
-
-def test_streams(spark):
-    events = spark.read.parquet(f"{SF}/events.parquet").collect()
-    seen = queries.QUERIES["seen_set_stream"](spark, SF).collect()
-    assert len(seen) == len({(e["event_type"], e["user_id"]) for e in events})
-    gate = queries.QUERIES["release_gate_stream"](spark, SF).collect()
-    assert {(r["dataset"], r["as_of"]) for r in gate} == {(e["event_type"], e["ts"].strftime("%Y-%m-%d")) for e in events}
-    assert len(gate) == len({(r["dataset"], r["as_of"]) for r in gate})
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLES)

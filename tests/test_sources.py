@@ -22,6 +22,7 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in got] == [("1", 'a "q", b\nc'), ("2", "")]
     with pytest.raises(ValueError, match="unterminated"):
         formats.csv_table(spark, put(tmp_path, "b.csv", 'id\n"open\n'))
+    assert [tuple(r) for r in formats.csv_records(spark, put(tmp_path, "c.csv", 'a,"b\nc"\n\nd\n')).collect()] == [("a", "b\nc"), ("d", "")]
 
 
 def test_positional(spark, tmp_path):
@@ -106,11 +107,15 @@ def test_json_connectors(spark, tmp_path):
     (tmp_path / "hn").mkdir()
     put(tmp_path / "hn", "a.json", json.dumps({"hits": [{"title": "T", "url": "https://x", "objectID": "1"}, {"title": 5, "objectID": "2"}, {"title": "U", "objectID": "3"}]}))
     got = json_records.connect(spark, "hacker-news", str(tmp_path / "hn")).orderBy("pos").collect()
-    assert [(r["title"], r["url"], r["id"], r["provider"]) for r in got] == [("T", "https://x", "1", "hacker-news"), ("U", None, "3", "hacker-news")]
+    assert [(r["title"], r["url"], r["id"], r["provider"]) for r in got] == [("T", "https://x", "1", "hacker-news"), ("U", "https://news.ycombinator.com/item?id=3", "3", "hacker-news")]
     (tmp_path / "kev").mkdir()
     put(tmp_path / "kev", "a.json", json.dumps({"vulnerabilities": [{"cveID": "x"}]}))
-    with pytest.raises(ValueError, match="cisa-kev"):
-        json_records.connect(spark, "cisa-kev", str(tmp_path / "kev"))
+    with pytest.raises(Exception, match="cisa-kev: no valid record"):
+        json_records.connect(spark, "cisa-kev", str(tmp_path / "kev")).collect()
+    (tmp_path / "bad").mkdir()
+    put(tmp_path / "bad", "a.json", "<html>")
+    with pytest.raises(Exception, match="hacker-news: no JSON"):
+        json_records.connect(spark, "hacker-news", str(tmp_path / "bad")).collect()
     (tmp_path / "wb").mkdir()
     put(tmp_path / "wb", "a.json", json.dumps({"documents": {"D1": {"id": "1", "display_title": "A", "url": "u"}, "facets": {}}}))
     assert [r["title"] for r in json_records.connect(spark, "world-bank", str(tmp_path / "wb")).collect()] == ["A"]

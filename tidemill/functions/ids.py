@@ -38,11 +38,26 @@ def isbn10_to_13(text: Column) -> Column:
 
 
 def extract_isbns(text: Column) -> Column:
-    """All valid ISBNs of a text, in order, each once."""
-    found = F.regexp_extract_all(text, F.lit(r"\b(97[89][\d\s-]{10,16}|\d{9}[\dXx])\b"), F.lit(1))
+    """All valid ISBNs of a text, in order, each once: thirteen digits from 978 or 979 on, perhaps set apart, or ten characters."""
+    thirteen = r"97[89](?:[ -]?\d){10}"
+    ten = r"\d{9}[\dXx]"
+    found = F.regexp_extract_all(text, F.lit(rf"(?<!\w)({thirteen}|{ten})(?!\w)"), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, normalize_isbn), lambda x: x.isNotNull()))
 
 
+def isbn_identity(text: Column) -> Column:
+    """struct<isbn13, isbn10> of one ISBN; the ten-digit form of a thirteen-digit one exists for 978 only."""
+    isbn = normalize_isbn(text)
+    body = F.substring(isbn, 4, 9)
+    as_ten = F.when((F.length(isbn) == 13) & isbn.startswith("978"), F.concat(body, isbn10_check_digit(body)))
+    thirteen = F.when(F.length(isbn) == 13, isbn).otherwise(isbn10_to_13(isbn))
+    return F.struct(thirteen.alias("isbn13"), F.when(F.length(isbn) == 10, isbn).otherwise(as_ten).alias("isbn10"))
+
+
+# Fixed value: what a DOI looks like.
+DOI = r"^10\.\d{4,9}/\S+$"
+
+
 def normalize_doi(text: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"^https?://(?:dx\.)?doi\.org/", ""), r"^doi:\s*", ""))
-    return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), bare)
+    return F.when(bare.rlike(DOI), bare)

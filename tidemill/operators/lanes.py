@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import classify, match, severity
+from tidemill.functions.text import compare_form, surname
 from tidemill.operators import merge, similarity
+from tidemill.shared import cut
 
 # Statuses that make a result partial, and the lowest score at which an identity counts as resolved.
 PARTIAL = ("error", "unsupported", "partial", "disabled")
@@ -60,43 +62,58 @@ def in_window(items: DataFrame, at: str, since: datetime | None, until: datetime
     return (items.where(on) if since or until else items), F.count_if(F.col(at).isNull())
 
 
-def feed(items: DataFrame, subject: Subject, since: datetime | None = None, until: datetime | None = None, limit: int | None = None) -> DataFrame:
+def _optional(items: DataFrame, name: str) -> Column:
+    return F.col(name) if name in items.columns else F.lit(None).cast("string")
+
+
+def _folded(items: DataFrame, since: datetime | None, until: datetime | None, undated: Observation | None) -> DataFrame:
+    """Items with a subject: those of the window, annotated, merged by subject and key."""
+    found, missing = in_window(items.observe(undated, F.count_if(F.col("published_at").isNull()).alias("undated")) if undated else items, "published_at", since, until)
+    shown = classify.item_text(*(F.col(c) for c in ("title", "summary", "source", "form_type", "url")))
+    form, kind = F.col("form_type"), F.col("kind")
+    none = F.array().cast("array<string>")
+    found = found.withColumn("canonical_url", F.coalesce("canonical_url", F.when(F.col("provider") != "google-news", F.col("url"))))
+    found = found.withColumn("event_kind", classify.event_kind(shown, form, kind)).withColumn("tags", F.array_sort(F.array_union(F.coalesce("tags", none), classify.event_tags(shown, form, kind))))
+    accession, date_text = _optional(items, "accession_number"), _optional(items, "published_text")
+    found = found.withColumn("key", F.struct("subject", news_key(accession, date_text).alias("key"))).withColumn("seq", F.struct("provider", "id"))  # the order in which a key's items fold
+    found = cut(found)  # read and classified once, though the merge looks at it three times
+    return merge.merge_news(found).drop("seq", "key").orderBy(F.coalesce("published_at", F.lit(0).cast("timestamp")).desc(), F.desc("id"))
+
+
+def feed(items: DataFrame, subject: Subject, since: datetime | None = None, until: datetime | None = None, limit: int | None = None, undated: Observation | None = None) -> DataFrame:
     """The subject's items, annotated, merged by key, newest first.
 
-    items: provider, id, title, summary, source, url, canonical_url, published_at, kind, form_type, tags, related_tickers. A limit of 0
-    reads nothing. The limit is taken last, after all that filters and merges."""
+    items: provider, id, title, summary, source, url, canonical_url, published_at, kind, form_type, tags, related_tickers, and, where there
+    are such, accession_number and published_text. A limit of 0 reads nothing; the limit is taken last, after all that filters and
+    merges. undated observes as `undated` how many of the subject's items have no date, which a window excludes."""
     limit, subject = checked_limit(limit), subject.normal()
     if limit == 0:
         return items.limit(0)
     text = F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))
-    found, _ = in_window(items.where(subject.matches(text)), "published_at", since, until)
-    shown = classify.item_text(*(F.col(c) for c in ("title", "summary", "source", "form_type", "url")))
-    form, kind = F.col("form_type"), F.col("kind")
-    found = found.withColumn("subject", F.lit(subject.key)).withColumn("canonical_url", F.coalesce("canonical_url", F.when(F.col("provider") != "google-news", F.col("url"))))
-    found = found.withColumn("event_kind", classify.event_kind(shown, form, kind)).withColumn("tags", F.array_sort(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), classify.event_tags(shown, form, kind))))
-    found = found.withColumn("key", news_key()).withColumn("seq", F.struct("provider", "id"))  # the order in which a key's items fold
-    out = merge.merge_news(found).drop("seq", "key").orderBy(F.coalesce("published_at", F.lit(0).cast("timestamp")).desc(), F.desc("id"))
+    out = _folded(items.where(subject.matches(text)).withColumn("subject", F.lit(subject.key)), since, until, undated)
     return out if limit is None else out.limit(limit)
 
 
-def news_key() -> Column:
-    """What makes two items one: URL, else title, date and source, else the id."""
+def news_key(accession: Column | None = None, date_text: Column | None = None) -> Column:
+    """What makes two items one: URL, else accession number, else title, date and source, else the id."""
     from tidemill.functions.text import collapse_space
     from tidemill.functions.url import normalize_url
 
     tidy = lambda c: F.nullif(F.lower(collapse_space(F.coalesce(F.col(c), F.lit("")))), F.lit(""))
     link = F.nullif(normalize_url(F.coalesce(F.nullif("canonical_url", F.lit("")), F.col("url"))), F.lit(""))
-    titled = F.concat(F.lit("title:"), tidy("title"), F.lit("|"), F.coalesce(F.col("published_at").cast("string"), F.lit("")), F.lit("|"), tidy("source"))
-    return F.coalesce(F.concat(F.lit("url:"), link), titled, F.concat(F.lit("id:"), F.col("id")))
+    none = F.lit(None).cast("string")
+    filed = F.concat(F.lit("sec-edgar:"), F.nullif(none if accession is None else accession, F.lit("")))
+    date = F.coalesce(F.col("published_at").cast("string"), none if date_text is None else date_text, F.lit(""))
+    titled = F.concat(F.lit("title:"), tidy("title"), F.lit("|"), date, F.lit("|"), tidy("source"))
+    return F.coalesce(F.concat(F.lit("url:"), link), filed, titled, F.concat(F.lit("id:"), F.col("id")))
 
 
-def watchlist(items: DataFrame, subjects: list[Subject], **window) -> DataFrame:
-    """The feeds of several subjects, without limits, each item with its subject. Items are read once for each subject."""
-    out = None
-    for s in subjects:
-        one = feed(items, s, **window)
-        out = one if out is None else out.unionByName(one)
-    return out
+def watchlist(items: DataFrame, subjects: list[Subject], since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    """The feeds of several subjects, without limits, each item with its subject: one scan and one merge for all of them."""
+    text = F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))
+    normal = [s.normal() for s in subjects]
+    met = F.array_compact(F.array(*(F.when(s.matches(text), F.lit(s.key)) for s in normal))) if normal else F.array().cast("array<string>")
+    return _folded(items.withColumn("subject", F.explode(met)), since, until, None)
 
 
 def provider_status(items: DataFrame, providers: DataFrame) -> DataFrame:
@@ -170,32 +187,70 @@ def merge_works(works: DataFrame) -> DataFrame:
     return first.join(best, "key").join(origins, "key").orderBy("seq")
 
 
+IDENTIFIERS = ("isbn13", "isbn10", "doi", "oclc", "lccn")
+
+
+def surnames(authors: Column) -> Column:
+    """The distinct surnames of an array of names, empty ones left out."""
+    return F.array_distinct(F.filter(F.transform(authors, surname), lambda n: n.isNotNull() & (n != "")))
+
+
 def resolve(records: DataFrame, authority: DataFrame, k: int = 10, floor: float = IDENTITY_FLOOR) -> DataFrame:
     """record_id, source_id, score, rank: the k best authoritative works of each record whose score reaches the floor.
 
-    Both have id, title, authors (array), year and identifiers isbn13 and doi. A shared identifier scores 1, else the score is weighted
-    from titles, authors and years. Only pairs whose titles are similar enough to reach the floor are ever scored."""
-    surnames = F.transform("authors", lambda a: F.lower(F.element_at(F.split(F.trim(a), r"\s+"), -1)))
+    Both have id, title, authors (array), year and those of isbn13, isbn10, doi, oclc and lccn that both know. A shared identifier scores
+    1, else the score is weighted from titles, surnames and years. Only pairs whose titles are similar enough to reach the floor
+    are ever scored."""
+    shared = [c for c in IDENTIFIERS if c in records.columns and c in authority.columns]
 
     def shape(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("id", "year", "isbn13", "doi")), similarity.title_tokens(F.col("title")).alias(f"{prefix}_tokens"), surnames.alias(f"{prefix}_names"))
+        return df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("id", "year", *shared)), similarity.title_tokens(F.col("title")).alias(f"{prefix}_tokens"), surnames(F.col("authors")).alias(f"{prefix}_names"))
 
     a, b = shape(records, "r"), shape(authority, "s")
     # Authors and year give at most their weights, so a title has to make up the rest.
     least = max(0.05, (floor - similarity.AUTHOR_WEIGHT - similarity.YEAR_WEIGHT) / similarity.TITLE_WEIGHT)
     close = similarity.candidates(a.withColumnRenamed("r_tokens", "tokens"), b.withColumnRenamed("s_tokens", "tokens"), "r_id", "s_id", "tokens", least).select("r_id", "s_id", F.col("score").alias("title"))
-    same = None
-    for c in ("isbn13", "doi"):
-        one = a.select("r_id", F.col(f"r_{c}").alias("x")).join(b.select("s_id", F.col(f"s_{c}").alias("x")), "x").select("r_id", "s_id")
-        same = one if same is None else same.unionByName(one)
     scored = close.join(a, "r_id").join(b, "s_id")
     author = F.when(F.arrays_overlap("r_names", "s_names"), 1.0).otherwise(0.0)
     total = similarity.rounded(F.col("title") * similarity.TITLE_WEIGHT + author * similarity.AUTHOR_WEIGHT + similarity.year_similarity(F.col("r_year"), F.col("s_year")) * similarity.YEAR_WEIGHT)
-    pairs = scored.select("r_id", "s_id", total.alias("score")).unionByName(same.distinct().withColumn("score", F.lit(1.0))).groupBy("r_id", "s_id").agg(F.max("score").alias("score"))
+    pairs = scored.select("r_id", "s_id", total.alias("score"))
+    if shared:
+        ids = lambda df, prefix: df.select(f"{prefix}_id", *(F.col(f"{prefix}_{c}").alias(c) for c in shared))
+        same = similarity.same_identifier(ids(a, "r"), ids(b, "s"), "r_id", "s_id", shared)
+        pairs = pairs.unionByName(same.withColumn("score", F.lit(1.0))).groupBy("r_id", "s_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("r_id").orderBy(F.desc("score"), "s_id")
     return pairs.where(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("r_id").alias("record_id"), F.col("s_id").alias("source_id"), "score", "rank")
 
 
+def works_key(isbn13: Column, doi: Column, md5: Column, title: Column, author: Column, year: Column, format: Column) -> Column:
+    """What makes two records one work: ISBN, else DOI, else content hash, else title, surname, year and format."""
+    empty = F.lit("")
+    work = F.concat_ws("|", F.lit("work"), compare_form(F.coalesce(title, empty)), F.coalesce(surname(F.coalesce(author, empty)), empty), F.coalesce(year.cast("string"), empty), F.coalesce(format, empty))
+    return F.coalesce(F.concat(F.lit("isbn13:"), isbn13), F.concat(F.lit("doi:"), doi), F.concat(F.lit("md5:"), md5), work)
+
+
+# File formats, the most wanted first.
+FORMATS = ("epub", "pdf", "djvu", "mobi", "azw3", "cbz", "txt", "html")
+
+
+def best_files(files: DataFrame, by: list[str], format: str, *order: Column) -> DataFrame:
+    """The file of each group in the most wanted format."""
+    rank = F.array_position(F.array(*map(F.lit, FORMATS)), F.lower(format))
+    return merge.latest(files, by, F.when(rank > 0, rank).otherwise(len(FORMATS) + 1), *order)
+
+
+def subject_query(subject: Subject, style: str) -> str:
+    """A subject in a publisher's query language: 'quoted' ("Name" TICK), 'plain' (words) or 'fields' (all:"word" AND ...)."""
+    s = subject.normal()
+    if style == "quoted":
+        return " ".join(x for x in (f'"{s.company}"' if s.company else "", s.ticker, s.query) if x)
+    if style == "plain":
+        return s.query or s.company or s.ticker
+    if style == "fields":
+        return " AND ".join(f'all:"{w}"' for w in (s.query or s.company or s.ticker).replace('"', " ").split())
+    raise ValueError(f"no such style: {style}")
+
+
 def implied_probability(bid: Column, ask: Column, notional: float = 1.0) -> Column:
     """The middle of a two-sided quote, else its one side, as a share of the notional between 0 and 1."""
     side = lambda c: F.when(c > 0, c)
@@ -210,3 +265,61 @@ def ring_centroid(ring: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     total = lambda s, e: F.struct((s["a"] + e["c"]).alias("a"), (s["x"] + e["x"] * e["c"]).alias("x"), (s["y"] + e["y"] * e["c"]).alias("y"))
     return F.aggregate(sides, zero, total, lambda s: F.struct((s["a"] / 2).alias("area"), F.try_divide(s["x"], s["a"] * 3).alias("x"), F.try_divide(s["y"], s["a"] * 3).alias("y")))
+
+
+def quote_change(price: Column, previous: Column) -> Column:
+    """struct<change, percent> on the close before; null without one or for zero."""
+    change = F.when(previous != 0, price - previous)
+    return F.struct(change.alias("change"), (change / previous * 100).alias("percent"))
+
+
+def last_finite(values: Column) -> Column:
+    """The last value of an array that is a finite number."""
+    return F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))), -1)
+
+
+def sum_of_present(*values: Column) -> Column:
+    """The sum of the values that aren't null; null if none is."""
+    present = F.filter(F.array(*(v.cast("double") for v in values)), lambda x: x.isNotNull())
+    return F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda s, x: s + x))
+
+
+def ocean_phase(anomaly: Column) -> Column:
+    """Warm from half a degree above on, cold from half below."""
+    return F.when(anomaly >= 0.5, "el-nino").when(anomaly <= -0.5, "la-nina").when(anomaly.isNotNull(), "neutral")
+
+
+def hemisphere(text: Column, positive: str, negative: str, most: float) -> Column:
+    """Degrees of '12.5N' and the like; null beyond `most` or for another letter."""
+    pattern = r"^(\d+(?:\.\d+)?)\s*([NSEW])$"
+    t = F.upper(F.trim(text))
+    degrees = F.regexp_extract(t, pattern, 1).try_cast("double")
+    side = F.regexp_extract(t, pattern, 2)
+    return F.when(degrees <= most, F.when(side == positive, degrees).when(side == negative, -degrees))
+
+
+def place(latitude: Column, longitude: Column) -> Column:
+    """struct<known, latitude, longitude>: known is false for (0, 0), whose rows are dropped; what is out of range is null."""
+    good = latitude.between(-90, 90) & longitude.between(-180, 180)
+    both = lambda c: F.when(good, c)
+    return F.struct((~F.coalesce((latitude == 0) & (longitude == 0), F.lit(False))).alias("known"), both(latitude).alias("latitude"), both(longitude).alias("longitude"))
+
+
+def checked_checkpoint(as_of: str | None, sequence: int | None) -> None:
+    """Raises unless a watcher can go on from here."""
+    if as_of is not None:
+        try:
+            right = date.fromisoformat(as_of).isoformat() == as_of
+        except (TypeError, ValueError):
+            right = False
+        if not right:
+            raise ValueError("as_of must be a real date, YYYY-MM-DD")
+    if sequence is not None and (isinstance(sequence, bool) or not isinstance(sequence, int) or abs(sequence) >= 1 << 53):
+        raise ValueError("sequence must be a whole number that a double can hold")
+
+
+def pending(releases: DataFrame, after: int | None) -> DataFrame:
+    """The releases of a sequenced source that are due, in order of sequence: the newest one without a checkpoint, else all after it.
+    Empty ones are left out. releases: sequence, rows (how many) and others."""
+    full = releases.where("rows > 0")
+    return full.orderBy(F.desc("sequence")).limit(1) if after is None else full.where(F.col("sequence") > after).orderBy("sequence")

@@ -49,29 +49,26 @@ def fold_winner(df: DataFrame, key: str, seq: str, score: str, tagged: str) -> D
     return kept.select(key, F.col("__kept.seq").alias(seq), (F.col("__kept.score") + F.col("__kept.tagged").cast("int")).alias(score))
 
 
-def set_union(values: str | Column) -> Column:
-    """The distinct values of all arrays of a group, sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(values))))
-
-
 def merge_news(items: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
-    """One row for each key: the fold's winner with all columns of items, and the sorted unions `providers`, `all_tags`, `tickers`.
+    """One row for each key: the fold's winner with all columns of items, the sorted unions `providers`, `all_tags` and `tickers`,
+    and `provenance`, the distinct (provider, source, url) of its items, sorted.
 
-    items: key, seq, provider, source, url, published_at, summary, canonical_url, event_kind, tags, related_tickers. Sets are
-    built from distinct (key, value) rows, so a hot key's rows shrink before they meet.
+    items: key, seq, provider, source, url, published_at, summary, canonical_url, event_kind, tags, related_tickers. All sets come
+    from one table of distinct (key, what, value) rows, so a hot key's rows shrink before they meet.
     """
     has_tags = F.coalesce(F.size("tags") > 0, F.lit(False))
     scored = items.withColumn("__score", news_score(*(F.col(c) for c in ("published_at", "provider", "url", "summary", "canonical_url", "event_kind")))).withColumn("__tagged", has_tags)
     winners = fold_winner(scored, key, seq, "__score", "__tagged").withColumnRenamed("__score", "score")
-
-    def union(values: Column, name: str) -> DataFrame:
-        return items.select(key, F.explode(values).alias("v")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("v")).alias(name))
-
-    out = items.join(winners, [key, seq])
-    for values, name in ((F.array("provider"), "providers"), (F.col("tags"), "all_tags"), (F.col("related_tickers"), "tickers")):
-        out = out.join(union(values, name), key, "left")
-    empty = F.array().cast("array<string>")
-    return out.withColumns({c: F.coalesce(c, empty) for c in ("providers", "all_tags", "tickers")})
+    nothing = F.lit(None).cast("string")
+    entry = lambda what, a, b=nothing, c=nothing: F.struct(F.lit(what).alias("what"), a.alias("a"), b.alias("b"), c.alias("c"))
+    several = lambda what, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: entry(what, v))
+    own = F.array(entry("providers", F.col("provider")), entry("provenance", F.col("provider"), F.col("source"), F.col("url")))
+    entries = F.concat(own, several("all_tags", F.col("tags")), several("tickers", F.col("related_tickers")))
+    values = items.select(F.col(key).alias("__key"), F.inline(entries)).distinct()
+    of = lambda what, value: F.array_sort(F.collect_list(F.when(F.col("what") == what, value))).alias(what)
+    origin = F.struct(F.col("a").alias("provider"), F.col("b").alias("source"), F.col("c").alias("url"))
+    sets = values.groupBy("__key").agg(*(of(w, F.col("a")) for w in ("providers", "all_tags", "tickers")), of("provenance", origin))
+    return items.join(winners, [key, seq]).join(sets, F.col(key) == sets["__key"]).drop("__key")
 
 
 def first_non_null(df: DataFrame, keys: list[str], seq: str, columns: list[str]) -> DataFrame:

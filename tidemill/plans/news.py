@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions import classify, match
-from tidemill.operators import merge
+from tidemill.functions import match
+from tidemill.operators import lanes, merge
+from tidemill.plans import scalars
 from tidemill.plans.registry import query, read
 
 
@@ -20,7 +21,7 @@ def _items(spark, sf_dir) -> DataFrame:
         F.col("source"),
         F.concat(F.lit("https://x.example/"), (d % 211).cast("string")).alias("url"),
         F.when(d % 3 != 0, F.lit("2024-01-01T00:00:00Z")).alias("published_at"),
-        F.when(F.col("n_chars") > 1000, F.substring("text", 1, 20)).alias("summary"),
+        F.when(F.col("n_chars") > 1000, F.col("text")).alias("summary"),
         F.when(d % 5 == 0, F.lit("https://x.example/c")).alias("canonical_url"),
         F.when(d % 7 == 0, F.lit("rating")).alias("event_kind"),
         F.when(d % 4 == 3, F.array("lang", F.lit("t"))).otherwise(F.array().cast("array<string>")).alias("tags"),
@@ -99,20 +100,36 @@ def watchlist_fanout(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("subject"))
 
 
+_FEED_KIND, _FEED_TAGS = (x.replace("form is not null", "false").replace("lower(form)", "null") for x in (scalars._KIND_SQL, scalars._TAGS_SQL))
+
+
 @query(
     "topic_feed",
-    """with m as (select doc_id, lang, source, lower(trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ')) as t from documents where regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the($|[^A-Za-z0-9])')),
-    k as (select md5(t) as key, min(doc_id) as doc_id, array_to_string(list_sort(list_distinct(list(source))), ',') as sources, count(*) as copies from m group by 1)
-    select doc_id, sources, copies from k order by copies desc, doc_id limit 50""",
+    f"""with d as (select 'd' || doc_id::varchar as id, source, trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') as title, case when doc_id % 10 <> 0 then 1704067200 + doc_id end as published from documents),
+    m as (select *, 'https://x.example/' || md5(lower(title)) as url from d where regexp_matches(title, '(?i)(^|[^A-Za-z0-9])the($|[^A-Za-z0-9])')),
+    t as (select *, lower(title || ' ' || source || ' ' || url) as t from m), c as (select id, source, url, published, {_FEED_KIND} as kind, {_FEED_TAGS} as tags from t),
+    s as (select *, case when published is not null then 4 else 0 end + 1 + case when kind is not null then 1 else 0 end as score, tags <> '' as tagged from c),
+    f as (select url, list_reduce(list({{'id': id, 'score': score, 'tagged': tagged}} order by source, id),
+        lambda a, x: case when x.score + x.tagged::int > a.score + a.tagged::int then {{'id': x.id, 'score': x.score, 'tagged': a.tagged or x.tagged}}
+          else {{'id': a.id, 'score': a.score, 'tagged': a.tagged or x.tagged}} end) as k,
+        array_to_string(list_sort(list_distinct(list(source))), ',') as providers, array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(tags, ','))), lambda x: x <> ''))), ',') as tags,
+        count(distinct source) as origins from s group by url)
+    select s.id, s.kind as event_kind, s.published, (f.k.score + f.k.tagged::int)::int as score, f.providers, f.tags, f.origins::int as origins
+    from f join s on s.id = f.k.id order by coalesce(s.published, 0) desc, s.id desc limit 50""",
 )
 def topic_feed(spark, sf_dir):
-    """The flagship: match a topic, classify, merge copies by text, order, limit."""
-    docs = read(spark, sf_dir, "documents").where(match.mentions_query(F.col("text"), "the"))
-    text = F.lower(F.trim(F.regexp_replace("text", r"[ \t\r\n\f]+", " ")))
-    items = docs.select(F.md5(text.cast("binary")).alias("key"), "doc_id", "source")
-    sources = items.select("key", "source").distinct().groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"))
-    feed = items.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).join(sources, "key")
-    return feed.select("doc_id", "sources", "copies").orderBy(F.desc("copies"), "doc_id").limit(50)
+    """The flagship: the feed of a topic over documents as news items: match, classify, merge copies by URL, order, limit."""
+    title = F.trim(F.regexp_replace("text", r"[ \t\r\n\f]+", " "))
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", title.alias("title"))
+    items = rows.select(
+        F.col("source").alias("provider"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "title", none.alias("summary"), "source",
+        F.concat(F.lit("https://x.example/"), F.md5(F.lower("title").cast("binary"))).alias("url"), none.alias("canonical_url"),
+        F.when(F.col("doc_id") % 10 != 0, F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))).alias("published_at"), none.alias("kind"), none.alias("form_type"),
+        F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("array<string>").alias("related_tickers"),
+    )
+    found = lanes.feed(items, lanes.Subject(query="the"), limit=50)
+    return found.select("id", "event_kind", F.unix_seconds("published_at").alias("published"), "score", F.array_join("providers", ",").alias("providers"), F.array_join("all_tags", ",").alias("tags"), F.size("provenance").alias("origins"))
 
 
 @query("union_providers", "select source as provider, doc_id as id, 'doc' as kind from documents union all select event_type, event_id, 'event' from events union all select 'pages', page_id, 'page' from pages")
@@ -136,11 +153,3 @@ def relevance_signals(spark, sf_dir):
     flags = (("tion", F.lower("text").contains("tion")), ("number", F.col("text").rlike("[0-9]{3}")), ("long", F.col("n_chars") > 5000))
     signals = F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in flags)))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(signals, ",").alias("signals"))
-
-
-def annotate(items: DataFrame, subject: str) -> DataFrame:
-    """Items with the subject, kind and tags filled in where they are missing."""
-    text = classify.item_text(*(F.col(c) for c in ("title", "summary", "source", "form_type", "url")))
-    kind, form = F.col("kind"), F.col("form_type")
-    tags = F.array_sort(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), classify.event_tags(text, form, kind)))
-    return items.withColumns({"subject": F.lit(subject), "canonical_url": F.coalesce("canonical_url", "url"), "event_kind": F.coalesce("event_kind", classify.event_kind(text, form, kind)), "tags": tags})

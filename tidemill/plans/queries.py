@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.plans import data, news, scalars, streams, works  # noqa: F401
+from tidemill.plans import connectors, data, helpers, news, scalars, sources, streams, works  # noqa: F401
 from tidemill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -22,15 +22,27 @@ ZIP_BUDGET = 512 << 20
 NESTING = 256
 
 
-def csv_table(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """RFC 4180 with embedded line breaks, all cells text, missing cells empty. Raises on a quote that isn't closed."""
-    quotes = spark.read.text(path, wholetext=True).select("_metadata.file_path", (F.regexp_count("value", F.lit('"')) % 2).alias("odd")).where("odd = 1").limit(1).collect()
-    if quotes:
-        raise ValueError(f"unterminated quote in {quotes[0][0]}")
+def _closed(spark: SparkSession, path: str) -> None:
+    """Raises for a file whose quotes don't pair up. Files are read by lines, so large ones are counted in parts."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_count("value", F.lit('"')).alias("n"))
+    open_ = lines.groupBy("file").agg(F.sum("n").alias("n")).where("n % 2 = 1").limit(1).collect()
+    if open_:
+        raise ValueError(f"unterminated quote in {open_[0]['file']}")
+
+
+def csv_records(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """RFC 4180 with embedded line breaks, all cells text, missing cells empty, blank lines left out. Raises on a quote that isn't
+    closed."""
+    _closed(spark, path)
     rows = spark.read.csv(path, header=header, multiLine=True, quote='"', escape='"', inferSchema=False, mode="PERMISSIVE")
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns)).where(" or ".join(f"`{c}` <> ''" for c in rows.columns))
 
 
+def csv_table(spark: SparkSession, path: str) -> DataFrame:
+    """csv_records() whose first record names the columns."""
+    return csv_records(spark, path, header=True)
+
+
 def separated(spark: SparkSession, path: str, sep: str, names: list[str] | None = None, quote: str = "") -> DataFrame:
     """Text separated by a tab, pipe or the like; the first line is the header unless names are given."""
     reader = spark.read.options(sep=sep, quote=quote, mode="PERMISSIVE")
@@ -101,7 +113,13 @@ def inflate(data: bytes, most: int, raw: bool = True) -> bytes:
 
 
 def zip_entries(data: bytes, budget: int = ZIP_BUDGET) -> Iterator[tuple[str, bytes]]:
-    """Stored and deflated entries, in order; encrypted ones, other methods, wrong sizes and too much data raise."""
+    """Stored and deflated entries, in order; encrypted ones, other methods, wrong sizes and too much data raise, and so do archives
+    of several disks or with a directory in 64-bit form."""
+    end = data.rfind(b"PK\x05\x06")
+    if end < 0 or data[end + 4 : end + 8] != b"\0\0\0\0":
+        raise ValueError("no archive, or one of several disks")
+    if data[end + 10 : end + 20].find(b"\xff\xff\xff\xff") >= 0 or data[max(0, end - 20) : end - 16] == b"PK\x06\x07":
+        raise ValueError("directory in 64-bit form")
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         for info in archive.infolist():
             if info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
@@ -222,7 +240,7 @@ def html_rows(pages: DataFrame, html: str, key: str) -> DataFrame:
 
 def sectioned_lines(lines: DataFrame, order: str, value: str) -> DataFrame:
     """Lines of a list with `[section]` heads and `#` labels: order, section, label, url; https only, each once."""
-    w = Window.orderBy(order)
+    w = Window.orderBy(order)  # a list of some hundred lines
     line = F.trim(F.regexp_replace(value, "#.*$", ""))
     head = F.nullif(F.regexp_extract(value, r"^\s*\[([^\]]+)\]\s*$", 1), F.lit(""))
     rows = lines.select(order, F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("section"), F.nullif(F.trim(F.regexp_extract(value, "#(.*)$", 1)), F.lit("")).alias("label"), line.alias("url"))
@@ -245,3 +263,16 @@ def caption_segments(xml: Column) -> Column:
     b = F.regexp_extract_all(xml, F.lit(r"(?s)<p [^>]*>.*?</p>"), F.lit(0))
     one = lambda n, d, scale: lambda x: F.struct((number(x, rf'\b{n}="([\d.]+)"') / scale).alias("start"), (number(x, rf'\b{d}="([\d.]+)"') / scale).alias("duration"), clean_text(x).alias("text"))
     return F.when(F.size(a) > 0, F.transform(a, one("start", "dur", 1))).otherwise(F.transform(b, one("t", "d", 1000)))
+
+
+def decoded(content: Column, encoding: str = "UTF-8", lossy: bool = False) -> Column:
+    """Bytes as text. UTF-8 raises on what isn't, or, lossy, puts the replacement character there; windows-1252 takes every byte."""
+    if encoding.lower() == "windows-1252":
+        return F.decode(content, "ISO-8859-1") if lossy else _windows_1252(content)
+    return F.make_valid_utf8(content.cast("string")) if lossy else F.validate_utf8(content.cast("string"))
+
+
+def _windows_1252(content: Column) -> Column:
+    """As Latin-1, but for the 32 places from 0x80 on, of which 27 have characters of their own."""
+    own = {chr(b): bytes([b]).decode("windows-1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(own), "".join(own.values()))
