@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each one and reads it again for the next. All but
 the last return the columns they got.
+
+Every stage judges rows, not ids: null and repeated doc_ids are rows like others, and equal rows share a fate but in the
+near-duplicate stage, which keeps one. Null texts, and those without a letter, go with the language stage. Very long texts are
+read as a whole. Empty tables pass through. Other columns, whatever their names, pass through as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontamination, langid, neardup, packing, queries, toxicity
-from tidemill.llm._common import cut, read
+from tidemill.llm._common import read
+from tidemill.shared import cut, paths_made, remove
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +53,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir. What a stage wrote to the shared folder goes when the next one is done."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with paths_made() as made:
+            docs = cut(stage(spark, docs, sf_dir))
+        remove(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return docs
 
 
