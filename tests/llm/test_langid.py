@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,49 @@ def test_tables_are_log_shares(spark):
     assert model.words.find(hash_strings(pa.array(["zz"], pa.large_string())))[0] == -1
 
 
+def plain_words(text):
+    return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+
+def test_against_a_plain_loop(spark):
+    """Tables, backoff, predictions and scores with plain dictionaries: every word and n-gram of the training texts counts."""
+    rng = np.random.default_rng(6)
+    stems = {"x": ["alpha", "beta", "gamma", "el", "do"], "y": ["alphe", "beto", "gimme", "le", "de"]}
+    docs = [(k, " ".join(rng.choice(stems[lang], 3)) + f" q{'abcdefgh'[k % 8]}r", lang) for k in range(40) for lang in ["xy"[k % 2]]] + [(40, "zzz 12", None), (41, "gammel", "x"), (42, "", "x")]
+    df = spark.createDataFrame([row for i, t, lang in docs for row in rows((i, t), lang=lang)], SCHEMA)
+    train = [(t, lang) for i, t, lang in docs if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    languages = sorted({lang for _, lang in train})
+    grams_of = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+
+    def shares(parts):
+        counts = {lang: Counter(p for t, x in train if x == lang for w in plain_words(t) for p in parts(w)) for lang in languages}
+        keys = set().union(*counts.values())
+        return {k: np.array([np.log((counts[x][k] + 0.5) / (sum(counts[x].values()) + 0.5 * len(keys))) for x in languages]) for k in keys}
+
+    known = shares(lambda w: [w])
+    by_order = {n: shares(lambda w, n=n: grams_of(w, n)) for n in langid.ORDERS}
+
+    def word(w):
+        if w in known:
+            return known[w]
+        for k, n in enumerate(langid.ORDERS):
+            found = [by_order[n][g] for g in grams_of(w, n) if g in by_order[n]]
+            if found:
+                return np.mean(found, axis=0) + (k + 1) * langid.PENALTY
+        return np.zeros(len(languages))
+
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert got.keys() == {i for i, _, _ in docs}
+    for i, text, _ in docs:
+        w = plain_words(text)
+        if not w:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        total = sum(word(x) for x in w) * min(20, len(w)) / len(w)
+        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[i]["lang_pred"] == languages[int(total.argmax())] and abs(got[i]["score"] - share.max()) < 1e-4
+
+
 def test_grams_are_those_of_a_plain_loop():
     words = ["a", "été", "longer"]
     for n, (owner, hashes) in enumerate(character_grams(pa.array(words), 5), 1):

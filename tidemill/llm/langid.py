@@ -4,9 +4,9 @@ A word that was seen in training scores, for each language, the log of its smoot
 that wasn't seen backs off to its character n-grams of the longest order of which any was seen, then to shorter ones; each
 order down costs a fixed penalty, the same for all languages. A document's language has the largest sum over its words.
 
-The tables are fitted on a bounded sample of labelled documents: about `per_language` documents for each language, picked by
-a hash of (doc_id, text). Counting runs in Spark; the tables keep the `words` most frequent words and
-`grams` most frequent n-grams of each language, which bounds what is broadcast.
+The tables are fitted on a bounded sample of labelled documents: about `per_language` documents or `most_bytes` of text for
+each language, whichever is less, picked by a hash of (doc_id, text). Counting runs in Spark, and the tables keep every word
+and n-gram of the sample, so its bounds are those of what is gathered and broadcast.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._common import character_grams, cut, filter_by_text, gram_hashes, hash_strings, slices, split_words
+from tidemill.llm._common import character_grams, cut, filter_by_text, give_back, gram_hashes, hash_strings, slices, split_words
 
 LETTERS = r"\p{L}"
 ORDERS = (5, 4, 3, 2, 1)
@@ -46,10 +46,9 @@ class Table:
         return np.where(self.keys[at] == hashes, at, -1)
 
 
-def table(keys: list[str], hashes: np.ndarray, counts: dict[str, Counter], languages: list[str], smooth: float = 0.5) -> Table:
-    """log((count + smooth) / (total + smooth * keys)) of each key in each language."""
-    n = np.array([[counts[x][k] for x in languages] for k in keys], float).reshape(len(keys), len(languages))
-    rows = np.log((n + smooth) / (n.sum(axis=0) + smooth * max(1, len(keys))))
+def table(hashes: np.ndarray, counts: np.ndarray, smooth: float = 0.5) -> Table:
+    """log((count + smooth) / (total + smooth * keys)) of each key in each language; counts has a row for each key."""
+    rows = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * max(1, len(hashes))))
     order = np.argsort(hashes)
     return Table(hashes[order], rows[order].astype(np.float32))
 
@@ -100,18 +99,21 @@ class Model:
         return [self.languages[b] if c else UNDETERMINED for b, c in zip(best, count, strict=True)], np.where(count > 0, share, 0.0)
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = 3000, words: int = 20_000, grams: int = 10_000) -> Model:
+def fit(docs: DataFrame, train: Column, per_language: int = 1000, most_bytes: int = 4_000_000) -> Model:
     """Fit on the rows where train holds, text has a letter and lang isn't null.
 
-    The driver receives at most (words + grams * 5) rows for each language; languages are taken to be some hundreds at most."""
+    Null texts and languages teach nothing; repeated rows count as often as they occur in the sample; an empty table gives a
+    model without languages. The driver receives one row for each word and n-gram of each language's sample; languages are taken
+    to be some hundreds at most."""
     rows = docs.select(docs["lang"].alias("lang"), docs["text"].alias("text"), F.xxhash64(docs["doc_id"], docs["text"]).alias("h"), train.alias("train"))
     rows = rows.where("train and lang is not null and text is not null")
     # The sample: a threshold on the hash takes about per_language rows of each language, without a sort of all rows. Only sizes
     # of languages come to the driver.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: (r["n"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     if not sizes:
         return Model([])
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
+    rates = {k: min(1.0, per_language / n, most_bytes / max(1, size)) for k, (n, size) in sizes.items()}
+    share = F.create_map(*[x for k, rate in rates.items() for x in (F.lit(k), F.lit(rate))])
     sample = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,32 +129,35 @@ def fit(docs: DataFrame, train: Column, per_language: int = 3000, words: int = 2
             yield pa.record_batch([[k[0] for k in found], [k[1] for k in found], pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
 
     counted = cut(sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    top = lambda df, key, k, *by: df.withColumn("place", F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), key))).where(F.col("place") <= k)
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
-    pieces = None
-    for order in ORDERS:
+
+    def runs(order: int) -> Column:
         starts = F.when(F.length(marked) >= order, F.sequence(F.lit(1), F.length(marked) - order + 1)).otherwise(F.array().cast("array<int>"))
-        one = counted.select("lang", "n", F.explode(F.transform(starts, lambda i, o=order: F.substring(marked, i, F.lit(o)))).alias("gram")).withColumn("size", F.lit(order))
-        pieces = one if pieces is None else pieces.unionByName(one)
-    gram_counts = pieces.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+        return F.transform(starts, lambda i: F.substring(marked, i, F.lit(order)))
+
+    # Every n-gram's length is its order, so one table holds all orders.
+    grams = counted.select("lang", "n", F.explode(F.flatten(F.array(*map(runs, ORDERS)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
+    by_word = _gathered(counted.toArrow(), "word", languages)
+    by_gram = _gathered(grams.toArrow(), "gram", languages)
+    lengths = pc.utf8_length(by_gram[0]).to_numpy()
+    tables = {}
+    for o in ORDERS:
+        keys = by_gram[0].filter(pa.array(lengths == o))
+        tables[o] = table(gram_hashes(keys.to_pylist()), by_gram[1][lengths == o])
+    model = Model(languages, table(hash_strings(by_word[0]), by_word[1]), tables)
+    del by_word, by_gram
+    give_back()
+    return model
 
-    def gathered(rows: pa.Table, key: str) -> dict[str, Counter]:
-        out = {x: Counter() for x in languages}
-        for lang, k, n in zip(*(rows.column(c).to_pylist() for c in ("lang", key, "n")), strict=True):
-            out[lang][k] = n
-        return out
 
-    by_word = gathered(top(counted, "word", words).select("lang", "word", "n").toArrow(), "word")
-    keys = sorted(set().union(*by_word.values()))
-    word_table = table(keys, hash_strings(pa.array(keys, pa.large_string())), by_word, languages)
-    kept = top(gram_counts, "gram", grams, "size").select("lang", "size", "gram", "n").toArrow()
-    gram_tables = {}
-    for o in ORDERS:
-        by_gram = gathered(kept.filter(pc.equal(kept.column("size"), o)), "gram")
-        keys = sorted(set().union(*by_gram.values()))
-        gram_tables[o] = table(keys, gram_hashes(keys), by_gram, languages)
-    return Model(languages, word_table, gram_tables)
+def _gathered(rows: pa.Table, key: str, languages: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct keys, and a row of counts for each, one for each language."""
+    coded = rows.column(key).cast(pa.large_string()).combine_chunks().dictionary_encode()
+    which = {x: j for j, x in enumerate(languages)}
+    counts = np.zeros((len(coded.dictionary), len(languages)))
+    counts[coded.indices.to_numpy(), np.array([which[x] for x in rows.column("lang").to_pylist()], np.int64)] = rows.column("n").to_numpy()
+    return coded.dictionary, counts
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -184,7 +189,10 @@ def identify(docs: DataFrame, folds: int = 4, held_out_fold: int = 2, **limits)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, with a language whose score is at least `least`; undetermined texts go."""
+    """The rows of docs, all columns whatever their names, with a language whose score is at least `least`; undetermined texts go.
+
+    Each row is judged by its whole text alone: null, empty and letterless ones go, ids don't matter, and equal rows stay or go
+    together. A score of exactly `least` stays. An empty table stays empty. Very long texts are read one at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
