@@ -101,3 +101,60 @@ def test_every_allowed_pattern_has_a_hit():
         index = decontamination.build_index([(1, " ".join(own))])
         text = " ".join(f"x{k}" if k in set(replaced) else w for k, w in enumerate(own))
         assert len(list(decontamination.find(["other words", text], index, 0.7, 10, 0.7))) == 1
+
+
+def plain_overlap(own, words, identity, least, share):
+    """Matched words of an item by looking at every segment of every diagonal."""
+    covered, fewest = set(), min(5, len(own))
+    for diagonal in range(-len(own) + 1, len(words)):
+        low, high = max(0, -diagonal), min(len(own), len(words) - diagonal)
+        equal = [own[i] == words[i + diagonal] for i in range(low, high)]
+        for a in range(len(equal)):
+            n = 0
+            for b in range(a, len(equal)):
+                n += equal[b]
+                if n >= max(fewest, identity * (b + 1 - a) - 1e-9):
+                    covered |= {low + i for i in range(a, b + 1) if equal[i]}
+    return len(covered) if len(covered) >= min(least, int(np.ceil(share * len(own)))) and covered else 0
+
+
+def test_substitutions_against_brute_force(spark):
+    """Items of 1 to 25 words with words replaced, dropped and added, in texts of other words."""
+    rng = np.random.default_rng(9)
+    passages = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 10, 11, 12, 13, 16, 20, 25))]
+    docs = []
+    for k in range(120):
+        own = list(passages[k % len(passages)])
+        for at in sorted(rng.choice(len(own), int(rng.integers(0, 1 + len(own) // 3)), replace=False)):
+            own[at] = f"new{k}x{at}"
+        if k % 5 == 0 and len(own) > 6:
+            del own[len(own) // 2]
+        if k % 7 == 0:
+            own.insert(len(own) // 2, "more")
+        other = [f"o{k}x{j}" for j in range(12)]
+        docs.append((k, " ".join([*other[:6], *own, *other[6:]])))
+    bench = items(spark, *((k, " ".join(p)) for k, p in enumerate(passages)))
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontamination.leaks(spark.createDataFrame(rows(*docs), SCHEMA), bench).collect()}
+    want = {(i, k): n for i, t in docs for k, p in enumerate(passages) if (n := plain_overlap(p, t.split(), 0.7, 10, 0.7))}
+    assert got == want and len(want) > 60
+    kept = decontamination.decontaminated(spark.createDataFrame(rows(*docs), SCHEMA), bench, chunk_bytes=200)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_rows_are_judged_not_ids(spark):
+    """Leaked rows without an id go; clean rows that share an id with a leaked one stay."""
+    passage, clean = words(1000, 40), words(50, 60)
+    docs = spark.createDataFrame(rows((None, leak(passage, 5, 1)), (None, clean), (1, leak(passage, 9, 2)), (1, clean), (1, None)), SCHEMA)
+    kept = decontamination.decontaminated(docs, items(spark, (1, passage)))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(0, clean), (1, clean), (1, "")])
+
+
+def test_a_common_window_in_a_repetitive_text(spark):
+    """A window that all items share, many times in one text: hits are counted in parts."""
+    passages = [f"which of the following {words(3000 + k, 20)}" for k in range(50)]
+    text = " ".join(["which of the following"] * 400)
+    index = decontamination.build_index(list(enumerate(passages)))
+    found = decontamination.word_hashes_of([text, passages[3]])
+    few, many = (decontamination.diagonals(found, index, 10, 0.7, at_once=n) for n in (500, 10**7))
+    assert all((a == b).all() for a, b in zip(few, many, strict=True))
+    assert {(t, i) for t, (i, *_) in decontamination.find([text, passages[3]], index, 0.7, 10, 0.7)} == {(1, 3)}
