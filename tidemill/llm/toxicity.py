@@ -6,7 +6,7 @@ that many features without weight stood beside it; a linear softmax reads the cl
 seen still shares most n-grams with what was.
 
 Training data are a bounded sample: at most `per_class[c]` labelled documents of class c, those with the smallest hash of
-their id, weighted so that classes count as in all labelled rows. Scoring covers every whole text: since the classifier is linear
+their id, and at most `most_bytes` of text, weighted so that classes count as in all labelled rows. Scoring covers every whole text: since the classifier is linear
 in the average, each bucket has one number.
 """
 
@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._common import character_grams, filter_by_text, hash_strings, mix64, slices, split_words
+from tidemill.llm._common import character_grams, filter_by_text, give_back, hash_strings, mix64, parts_of, slices, split_words
 
 CHARACTERS = r"\p{L}\p{N}"
 
@@ -49,50 +49,103 @@ class Model:
     blank: float
 
 
-def train(texts: list[str | None], toxic: np.ndarray, class_weights: dict[int, float], buckets: int = 1 << 18, size: int = 8, epochs: int = 10, rate: float = 0.3, gain: float = 30.0, blank: float = 100.0, batch: int = 64, seed: int = 7) -> Model:
-    """Adagrad over the embedding table and the softmax layer at once; the same inputs give the same model."""
-    bags, labels = [], []
-    for at in range(0, len(texts), 64):
-        words, which, whose = split_words(pa.array(texts[at : at + 64], pa.large_string()), CHARACTERS)
-        owner, bucket = features_of(words, buckets)
-        first = np.searchsorted(owner, np.arange(len(words) + 1))
-        for k, label in enumerate(toxic[at : at + 64]):
-            own, often = np.unique(which[whose == k], return_counts=True)
-            if len(own):
-                ids = np.concatenate([bucket[first[w] : first[w + 1]] for w in own])
-                total = np.repeat(often, np.diff(first)[own])
-                ids, where = np.unique(ids, return_inverse=True)
-                counts = np.bincount(where, total)
-                bags.append((ids.astype(np.int32), (counts * (gain / (counts.sum() + blank))).astype(np.float32)))
-                labels.append(int(label))
-    y = np.array(labels, int)
+@dataclass
+class Bags:
+    """Documents as bags of words, words as bags of features: all that training needs of its texts, as arrays.
+
+    words[starts[d]:starts[d + 1]] are the distinct words of document d, often says how often each occurs there, and
+    features[bounds[w]:bounds[w + 1]] are the features of word w, numbered among those that occur; buckets has their buckets."""
+
+    starts: np.ndarray
+    words: np.ndarray
+    often: np.ndarray
+    bounds: np.ndarray
+    features: np.ndarray
+    buckets: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """The number of features of each document."""
+        per_word = np.diff(self.bounds)[self.words] * self.often
+        return np.add.reduceat(np.append(per_word, 0), self.starts[:-1]) * (np.diff(self.starts) > 0)
+
+
+def bags(texts: list[str | None] | pa.ChunkedArray, buckets: int, most: int = 500_000) -> Bags:
+    """Texts are taken a few at a time, so the distinct words of all and the counts are what memory holds."""
+    number: dict[str, int] = {}
+    starts, words, often = [0], [], []
+    column = (texts if isinstance(texts, pa.ChunkedArray) else pa.chunked_array([pa.array(texts, pa.large_string())])).combine_chunks()
+    for part in parts_of(column, most):
+        distinct, which, whose = split_words(column[part], CHARACTERS)
+        own = np.array([number.setdefault(w, len(number)) for w in distinct.to_pylist()], np.int64)
+        size = max(1, len(own))
+        pairs, n = np.unique(whose * size + which, return_counts=True)
+        words.append(own[pairs % size] if len(pairs) else np.zeros(0, np.int64))
+        often.append(n)
+        starts.extend((starts[-1] + np.searchsorted(pairs // size, np.arange(part.stop - part.start), side="right")).tolist())
+    names = pa.array(list(number), pa.large_string())
+    del number
+    sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(names), 10_000):  # n-grams of all words at once would take a hundred times the words' bytes
+        some = names[at : at + 10_000]
+        owner, bucket = features_of(some, buckets)
+        sizes.append(np.bincount(owner, minlength=len(some)))
+        found.append(bucket.astype(np.int32))
+    features = np.concatenate(found)
+    occurring = np.flatnonzero(np.bincount(features, minlength=buckets))
+    number_of = np.zeros(buckets, np.int32)
+    number_of[occurring] = np.arange(len(occurring))
+    join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
+    return Bags(np.array(starts), join(words), join(often), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), number_of[features], occurring)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start and size, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def train(texts: list[str | None] | pa.ChunkedArray, toxic: np.ndarray, class_weights: dict[int, float], buckets: int = 1 << 18, size: int = 8, epochs: int = 10, rate: float = 0.3, gain: float = 30.0, blank: float = 100.0, batch: int = 64, seed: int = 7) -> Model:
+    """Adagrad over the embedding table and the softmax layer at once; the same inputs give the same model.
+
+    A step adds up the vectors of each distinct word of its documents once; its memory is that of the words' features."""
+    made = bags(texts, buckets)
+    full = np.flatnonzero(np.diff(made.starts))
+    y = toxic[full].astype(int)
     if not len(y) or len(np.unique(y)) < 2:
         share = float(np.mean(toxic)) if len(toxic) else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))), blank)
+    scale = (gain / (made.sizes[full] + blank)).astype(np.float32)
     importance = np.array([class_weights[c] for c in y])
     importance /= importance.mean()
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.01, (buckets, size)).astype(np.float32)
+    table = rng.normal(0, 0.01, (buckets, size)).astype(np.float32)[made.buckets]
     layer, bias = rng.normal(0, 0.5, (size, 2)).astype(np.float32), np.zeros(2, np.float32)
-    seen, seen_layer, seen_bias = np.full(buckets, 1e-6, np.float32), 1e-6, 1e-6
+    seen, seen_layer, seen_bias = np.full(len(table), 1e-6, np.float32), 1e-6, 1e-6
+    of_word = np.diff(made.bounds)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            ids = np.concatenate([bags[i][0] for i in chosen])
-            shares = np.concatenate([bags[i][1] for i in chosen])
-            sizes = np.array([len(bags[i][0]) for i in chosen])
-            means = np.add.reduceat(table[ids] * shares[:, None], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+            docs = full[chosen]
+            n = made.starts[docs + 1] - made.starts[docs]
+            places = _ranges(made.starts[docs], n)
+            owner = np.repeat(np.arange(len(docs)), n)
+            words, which = np.unique(made.words[places], return_inverse=True)
+            share = made.often[places] * scale[chosen][owner]  # what a word's sum of vectors counts in its document
+            ids = made.features[_ranges(made.bounds[words], of_word[words])]
+            begins = np.cumsum(of_word[words]) - of_word[words]
+            sums = np.add.reduceat(table[ids], begins, axis=0)
+            means = np.add.reduceat(sums[which] * share[:, None], np.cumsum(n) - n, axis=0)
             logits = means @ layer + bias
             slope = np.exp(logits - logits.max(axis=1, keepdims=True))
             slope /= slope.sum(axis=1, keepdims=True)
             slope[np.arange(len(chosen)), y[chosen]] -= 1
             slope *= (importance[chosen] / len(chosen))[:, None]
             back = slope @ layer.T
-            owner = np.repeat(np.arange(len(chosen)), sizes)
-            rows, where = np.unique(ids, return_inverse=True)
-            change = np.stack([np.bincount(where, back[owner, j] * shares, len(rows)) for j in range(size)], axis=1)
+            by_word = np.stack([np.bincount(which, back[owner, j] * share, len(words)) for j in range(size)], axis=1)
+            rows = np.flatnonzero(np.bincount(ids, minlength=len(table)))
+            change = np.stack([np.bincount(ids, np.repeat(by_word[:, j], of_word[words]), len(table))[rows] for j in range(size)], axis=1)
             seen[rows] += (change**2).mean(axis=1)
             table[rows] -= rate * change / np.sqrt(seen[rows])[:, None]
             change_layer, change_bias = means.T @ slope, slope.sum(axis=0)
@@ -100,13 +153,18 @@ def train(texts: list[str | None], toxic: np.ndarray, class_weights: dict[int, f
             seen_bias += float((change_bias**2).mean())
             layer -= (rate / np.sqrt(seen_layer) * change_layer).astype(np.float32)
             bias -= (rate / np.sqrt(seen_bias) * change_bias).astype(np.float32)
-    return Model(((table @ (layer[:, 1] - layer[:, 0])) * gain).astype(np.float32), float(bias[1] - bias[0]), blank)
+    direction = layer[:, 1] - layer[:, 0]
+    # Buckets that no text has keep the vectors they began with.
+    weights = np.random.default_rng(seed).normal(0, 0.01, (buckets, size)).astype(np.float32) @ direction
+    weights[made.buckets] = table @ direction
+    return Model((weights * gain).astype(np.float32), float(bias[1] - bias[0]), blank)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> tuple[list, np.ndarray, dict[int, float]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], most_bytes: int) -> tuple[pa.ChunkedArray, np.ndarray, dict[int, float]]:
     """Texts, labels and class weights of the training sample. docs: doc_id, text, train; labels: doc_id, toxic.
 
-    An id with several labels counts as toxic if any of them says so. The sample has at most sum(per_class) ids."""
+    An id with several labels counts as toxic if any of them says so. The sample has at most sum(per_class) ids, and of those
+    as many as have most_bytes of text together, in the order of a hash of their ids."""
     marked = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(in_training(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
@@ -114,10 +172,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> tu
     for c, most in enumerate(per_class):
         one = marked.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(most)
         chosen = one if chosen is None else chosen.unionByName(one)
-    rows = docs.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    got = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.where("text is not null").toLocalIterator())
-    found = {c: max(1, sum(g[1] == c for g in got)) for c in (0, 1)}
-    return [g[2] for g in got], np.array([g[1] for g in got], int), {c: sizes.get(c, 0) / found[c] for c in (0, 1)}
+    # At most sum(per_class) ids are broadcast, and as many rows reach the window and the driver.
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")).where("text is not null")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id"))
+    got = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "toxic", "text").toArrow().sort_by("doc_id")
+    toxic = got.column("toxic").to_numpy().astype(int)
+    return got.column("text"), toxic, {c: sizes.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1)}
 
 
 def in_training(doc_id: Column, folds: int = 5) -> Column:
@@ -157,10 +217,16 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(docs["text"].alias("__text"), *(docs[c].alias(f"__k{i}") for i, c in enumerate(keep))).mapInArrow(run, out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 2000), **options) -> Model:
-    """Fit on labelled documents outside the held-out fold. Without labels of both classes the score is constant."""
-    texts, toxic, weights = sample(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), labels, per_class)
-    return train(texts, toxic, weights, **options)
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000, 1500), most_bytes: int = 32_000_000, **options) -> Model:
+    """Fit on labelled documents outside the held-out fold. Without labels of both classes the score is constant.
+
+    A null text, id or label teaches nothing; of rows that share an id the smallest text counts. Very long texts count as a whole
+    or, beyond most_bytes, not at all. Empty tables give a constant score. Other columns aren't read."""
+    texts, toxic, weights = sample(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")), labels, per_class, most_bytes)
+    model = train(texts, toxic, weights, **options)
+    del texts
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -171,7 +237,10 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that score below 0.5."""
+    """The rows of docs, all columns whatever their names, that score below 0.5, each judged by its whole text alone.
+
+    A null text or one without words is judged as an empty one; ids, null or repeated, don't matter, and equal rows stay or go
+    together. A score of exactly 0.5 goes. An empty table stays empty. Very long texts are read as a whole, one at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
