@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 
@@ -8,30 +9,42 @@ from tidemill.llm._common import bag, bag_similarity, word_hashes, word_hashes_o
 
 
 def brute(docs, threshold=0.8):
-    """class_id of each doc_id by comparing all pairs."""
-    ids = sorted({i for i, _ in docs if i is not None})
-    text = {i: min((t for j, t in docs if j == i and t is not None), default=None) for i in ids}
-    parent = {i: i for i in ids}
+    """The class of each row, as the number of its first row, by comparing all pairs."""
+    parent = list(range(len(docs)))
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    bags = {i: bag(t) for i, t in text.items()}
-    for a, b in itertools.combinations(ids, 2):
-        if text[a] is not None and text[b] is not None and (text[a] == text[b] or bag_similarity(bags[a], bags[b]) >= threshold):
+    bags = [bag(t) for _, t in docs]
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        if docs[a][1] is not None and docs[b][1] is not None and (docs[a][1] == docs[b][1] or bag_similarity(bags[a], bags[b]) >= threshold):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    return {i: root(i) for i in ids}
+    return [root(i) for i in range(len(docs))]
+
+
+def named_classes(docs):
+    """class_id of each row, or None where no row of the class has an id of its own."""
+    often = Counter(i for i, _ in docs)
+    own = [i if i is not None and i >= 0 and often[i] == 1 else None for i, _ in docs]
+    labels = brute(docs)
+    best = {c: min((i for i, x in zip(own, labels, strict=True) if x == c and i is not None), default=None) for c in labels}
+    return labels, [best[c] for c in labels]
 
 
 def check(df):
+    """Every row has its class; classes are told apart, named by the smallest id, and have one representative each."""
     docs = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     got = neardup.classes(df).collect()
-    assert {r["doc_id"]: r["class_id"] for r in got} == brute(docs)
-    assert all(r["representative"] == (r["doc_id"] == r["class_id"]) for r in got)
-    assert len(got) == len({i for i, _ in docs if i is not None})
+    labels, names = named_classes(docs)
+    plain = lambda x: -(10**6) if x is None else x
+    assert sorted((plain(r["doc_id"]), plain(r["class_id"] if r["class_id"] < neardup.UNNAMED else None)) for r in got) == sorted((plain(i), plain(c)) for (i, _), c in zip(docs, names, strict=True))
+    assert len({r["class_id"] for r in got}) == len(set(labels))
+    assert sorted(Counter(r["class_id"] for r in got).values()) == sorted(Counter(labels).values())
+    assert Counter(r["class_id"] for r in got if r["representative"]) == Counter({r["class_id"] for r in got})
+    assert all(r["doc_id"] == r["class_id"] for r in got if r["representative"] and r["class_id"] < neardup.UNNAMED)
 
 
 def test_messy(messy):
@@ -72,15 +85,36 @@ def test_small_blocks(spark, monkeypatch):
 
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    rows_ = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = {i: c for (i, _), c in zip(rows_, named_classes(rows_)[1], strict=True)}
     assert {r["doc_id"]: r["class_id"] for r in queries.op3_neardup(spark, "/root/testdata/sf0.001").collect()} == want
 
 
 def test_deduplicated(messy):
+    """One row of each class: a text of a repeated id stays only if no row with an id of its own has it."""
     kept = neardup.deduplicated(messy)
     assert kept.columns == messy.columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 7, 8, 9]
-    assert kept.where("doc_id is null").count() == 2
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [2, 3, 4, 5, 6, 7, 8, 9]
+    assert [r["text"] for r in kept.where("doc_id is null").collect()] == [None]
+
+
+def test_deduplicated_judges_rows(spark):
+    """Clean texts of a repeated id stay, whatever happens to the id's other rows; of equal rows one stays."""
+    a, b, c = (words(k, 40) for k in (81, 82, 83))
+    df = spark.createDataFrame(rows((0, a), (1, a), (1, b), (2, c), (3, c + " more"), (None, b + " more"), (4, None), (4, None), (-5, "one two")), SCHEMA)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.deduplicated(df).collect())
+    assert len(kept) == 6 and kept[:2] == [(-5, "one two"), (0, a)] and (2, c) in kept and kept.count((4, "")) == 2
+    assert len({(0, b + " more"), (1, b)} & set(kept)) == 1
+
+
+def test_hot_copies_and_a_stray(spark, monkeypatch):
+    """A third of all rows share a text; a crowd of near copies shares a bucket with strangers. Blocks stay small."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    base = words(5, 60).split()
+    crowd = [(1000 + k, " ".join([*base, f"own{k}"])) for k in range(60)]
+    hot = [(2000 + k, "the same text in very many rows") for k in range(150)]
+    half = [(3000 + k, " ".join([*base[: 30 + 3 * k], *words(400 + k, 30).split()])) for k in range(10)]
+    check(spark.createDataFrame(rows(*crowd, *hot, *half), SCHEMA))
 
 
 def test_signatures_are_unbiased():

@@ -10,9 +10,13 @@ points are drawn up to T, and only bags with an empty component are drawn again
 
 Duplicates. Equal texts first become one. Signatures are cut into bands; in each bucket of equal bands, every member is paired
 with the smallest, and pairs are verified by their bags' exact weighted Jaccard similarity. Components of verified pairs are
-found by contraction. Buckets whose members are then still in several components are compared across components, in blocks,
-by signature and then by bags. So each pair that shares a bucket is in one component or has been compared. No bucket is capped,
-and no pairs are written but those that are similar.
+found by contraction. In a bucket whose members are then still in several components, those of the largest component stay in
+blocks, and all others visit these blocks and each other's, where they are compared by signature and then by bags. So each
+pair that shares a bucket is in one component or has been compared, a stray member costs one pass over its bucket, no bucket is
+capped, and no pairs are written but those that are similar.
+
+Hot groups. A text with very many copies is found by a partial aggregate and told to its copies by a broadcast of at most a
+thousand texts. All other joins are between written tables, so that Spark can split what is skewed.
 """
 
 from __future__ import annotations
@@ -21,15 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._common import bag_similarity, bags_of, cut, mix64, slices, small_side
+from tidemill.llm._common import bag_similarity, bags_of, cut, give_back, mix64, parts_of, slices, small_side
 
 ROWS, BANDS = 6, 32
-#: Members of a bucket that are compared at once, in blocks against blocks.
-BLOCK = 512
+#: Members and shingles of a block of a bucket; blocks are compared with blocks.
+BLOCK, BLOCK_WEIGHT = 512, 300_000
+#: Documents without a doc_id of their own, because it's null, repeated or out of range, are numbered from here on.
+UNNAMED = 1 << 62
+#: Bytes of text whose bags are made at once.
+TEXT_BYTES = 1_000_000
 
 _GOLDEN, _STEP, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xE7037ED1A0B428DB))
 
@@ -72,8 +80,10 @@ def _earliest(best, owner, hashes, weight, limit, m, seed, level, low, width) ->
     bound = limit[owner]
     many = m * width * bound > 12
     for some, at_once in ((~many, 1), (many, 48)):
-        if some.any():
-            _points(best, owner[some], hashes[some], weight[some], bound[some], m, seed, level, low, width, at_once)
+        chosen, step = np.flatnonzero(some), 400_000 // at_once
+        for at in range(0, len(chosen), step):
+            part = chosen[at : at + step]
+            _points(best, owner[part], hashes[part], weight[part], bound[part], m, seed, level, low, width, at_once)
 
 
 def _points(best, owner, hashes, weight, bound, m, seed, level, low, width, at_once) -> None:
@@ -113,30 +123,24 @@ def band_keys(rows: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = 5) -> DataFrame:
-    """doc_id, text_key (a 128-bit hash of the text; null for a null text), weight (shingles), signature, keys."""
-    names = ["doc_id", "text_key", "weight", "signature", "keys"]
+    """The columns node, doc_id and text_key of docs, and weight (shingles), signature and keys of its texts."""
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1_000_000):
-            texts = b.column("text").to_pylist()
+        for b in slices(batches, "text", TEXT_BYTES):
             bags = bags_of(b.column("text"), words)
             signed = signatures(bags, m)
             keys = band_keys(signed, bands)
-            weights = [int(x[1].sum()) for x in bags]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array([None if t is None else xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary()),
-                    pa.array(weights, pa.int64()),
-                    pa.array([r.tobytes() if w else None for r, w in zip(signed, weights, strict=True)], pa.binary()),
-                    pa.array([k.tolist() if w else None for k, w in zip(keys, weights, strict=True)], pa.list_(pa.int64())),
-                ],
-                names=names,
-            )
-
-    rows_in = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, text_key binary, weight long, signature binary, keys array<long>")
+            weights = np.array([int(x[1].sum()) for x in bags], np.int64)
+            ends = np.arange(len(bags) + 1, dtype=np.int32)
+            none = pa.array(weights == 0)
+            data = pa.Array.from_buffers(pa.binary(), len(bags), [None, pa.py_buffer(ends * np.int32(4 * m)), pa.py_buffer(signed.tobytes())])
+            lists = pa.ListArray.from_arrays(pa.array(ends * np.int32(bands)), pa.array(keys.reshape(-1)))
+            empty = [pa.scalar(None, data.type), pa.scalar(None, lists.type)]
+            made = [pc.if_else(none, empty[0], data), pc.if_else(none, empty[1], lists)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "doc_id", "text_key")), pa.array(weights), *made], names=["node", "doc_id", "text_key", "weight", "signature", "keys"])
+
+    return docs.select("node", "doc_id", "text_key", "text").mapInArrow(run, "node long, doc_id long, text_key binary, weight long, signature binary, keys array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,24 +165,32 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(labels)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose bags have at least the similarity, with it. Each pair and id may come once only.
+def text_key(text: Column) -> Column:
+    """A 128-bit hash of a text; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text for each of wanted's rows (node, text_key). docs has the texts, some of them many times."""
+    found = docs.select(text_key(docs["text"]).alias("text_key"), docs["text"].alias("text")).where("text is not null")
+    return found.join(small_side(wanted), "text_key").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, threshold: float, words: int = 5) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags have at least the similarity, with it. heads: node, text_key.
 
     Texts are joined to the pairs, so only texts in need move; what a task keeps is a few bags."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("doc_id is not null and text is not null")
-    texts = texts.join(small_side(wanted), "doc_id", "left_semi")
-    # A doc_id that several rows share has one text among the representatives; the smallest stands for it on both sides.
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = cut(texts)
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = cut(texts_of(heads.select("node", "text_key").join(wanted, "node"), docs))
+    joined = pairs
+    for end in ("a", "b"):
+        joined = joined.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).hint("merge"), end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                one = batch.slice(at, 512)
-                pairs_in = list(zip(*(one.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True))
+        for one in slices(batches, "text_b", TEXT_BYTES):
+            for part in parts_of(one.column("text_a"), TEXT_BYTES):
+                pairs_in = list(zip(*(one.column(c)[part].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True))
                 distinct = list({i: t for a, b, x, y in pairs_in for i, t in ((a, x), (b, y))}.items())
                 bags = dict(zip((i for i, _ in distinct), bags_of([t for _, t in distinct], words), strict=True))
                 rows = [(a, b, s) for a, b, _, _ in pairs_in if (s := bag_similarity(bags[a], bags[b])) >= threshold]
@@ -204,7 +216,10 @@ def _links(first: list, second: list, bucket: int, m: int, bands: int, least: in
         near = near[keys_b[near, shared] == bucket]
         looked_at += [(-int(agree[j]), i, int(j)) for j in near]
     texts = {x[0]: x[4] for side, k in ((first, 1), (second, 2)) for x in (side[c[k]] for c in looked_at)}
-    bags = dict(zip(texts, bags_of(list(texts.values()), words), strict=True))
+    bags = {}
+    for at in range(0, len(texts), 64):
+        some = list(texts)[at : at + 64]
+        bags |= zip(some, bags_of([texts[i] for i in some], words), strict=True)
     parent: dict[int, int] = {}
 
     def root(label: int) -> int:
@@ -224,87 +239,134 @@ def across(members: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataF
     """Verified pairs (a, b, similarity) across components within buckets that have several; enough of them to join whatever
     a pair of similar members of one bucket would join.
 
-    members: bucket, doc_id. A bucket's members are dealt to blocks; blocks meet blocks, so a task holds two blocks only."""
-    placed = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    members: bucket, node, weight. The members of a bucket's largest component are dealt to blocks and don't move; the others
+    are dealt to blocks of their own, visit all blocks of the largest component, and meet each other. A task holds two blocks."""
+    placed = members.join(labels.select("node", "label").hint("merge"), "node", "left").select("bucket", "node", "weight", F.coalesce("label", "node").alias("label"))
     placed = cut(placed)
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rows = cut(placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"))
-    wanted = small_side(rows.select("doc_id").distinct())
-    texts = docs.select("doc_id", "text").where("text is not null").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.join(signed.select("doc_id", "weight", "signature").join(texts, "doc_id"), "doc_id")
-    # Each block meets itself and every other one of its bucket: (x, y) with x <= y.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label", "weight", "signature", "text")
-    # 4.5 standard deviations below the threshold: a similar pair is missed with a chance of about one in 300,000.
-    least = int(np.floor(m * threshold - 4.5 * np.sqrt(m * threshold * (1 - threshold))))
+    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    by_bucket = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "label", "w")).alias("top")).where("labels > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WEIGHT)).cast("int")
+    mixed = by_bucket.select("bucket", F.col("top.label").alias("largest"), blocks(F.col("top.n"), F.col("top.w")).alias("own"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("other"))
+    rows = placed.join(small_side(mixed), "bucket").withColumn("stays", F.col("label") == F.col("largest"))
+    rows = cut(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("stays"), F.col("own")).otherwise(F.col("other"))).cast("int")))
+    mine = cut(signed.select("node", "text_key", "signature").join(small_side(rows.select("node").distinct()), "node"))
+    texts = mine.select("node", "signature").join(texts_of(mine.select("node", "text_key"), docs).hint("merge"), "node")
+    rows = rows.join(cut(texts).hint("merge"), "node")
+    # (kind, x, y): block x of the others meets block y of the largest component, or one of the others' blocks, x <= y.
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    meeting = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    stays = F.transform(to(F.col("other")), lambda x: meeting(0, x, F.col("block")))
+    visits = F.transform(to(F.col("own")), lambda y: meeting(0, F.col("block"), y))
+    others = F.transform(to(F.col("other")), lambda y: meeting(1, F.least(F.col("block"), y), F.greatest(F.col("block"), y)))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("stays"), stays).otherwise(F.concat(visits, others))))
+    rows = rows.select("bucket", "at.kind", "at.x", "at.y", "stays", "block", "node", "label", "weight", "signature", "text")
+    # 6 standard deviations below the threshold: a similar pair is missed with a chance of about one in a billion.
+    least = int(np.floor(m * threshold - 6 * np.sqrt(m * threshold * (1 - threshold))))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        got = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "weight", "signature", "text", "block")), strict=True))
-        first = [g[:5] for g in got if g[5] == key[1].as_py()]
-        second = first if key[1] == key[2] else [g[:5] for g in got if g[5] == key[2].as_py()]
-        found = list(_links(first, second, key[0].as_py(), m, bands, least, threshold, words)) if first and second else []
+        bucket, kind, x, y = (k.as_py() for k in key)
+        got = list(zip(*(table.column(c).to_pylist() for c in ("node", "label", "weight", "signature", "text", "block", "stays")), strict=True))
+        first = [g[:5] for g in got if not g[6] and g[5] == x]
+        second = [g[:5] for g in got if g[6] or kind == 1 and g[5] == y]
+        found = list(_links(first, second, bucket, m, bands, least, threshold, words)) if first and second else []
+        give_back()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
-    return cut(rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long, similarity double"))
-
-
-def one_text_each(named: DataFrame) -> DataFrame:
-    """doc_id, text with one row for each doc_id: where several share one, the smallest of their texts. Only ids are counted first."""
-    again = cut(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if again.isEmpty():
-        return named
-    repeated = small_side(again)
-    one = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return named.join(repeated, "doc_id", "left_anti").unionByName(one)
+    return cut(rows.groupBy("bucket", "kind", "x", "y").applyInArrow(run, "a long, b long, similarity double"))
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """node, doc_id, text_key, text of all rows, and the doc_ids that can't name a row, or None where all can.
+
+    A row's node is its doc_id if no other row has it, else a number from UNNAMED on; so no two rows share a node."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs["text"]).alias("text_key"), docs["text"].alias("text"))
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(f"n > 1 or doc_id is null or doc_id not between 0 and {UNNAMED - 1}")
+    odd = cut(odd.select("doc_id"))
+    if odd.isEmpty():
+        return rows.select(F.col("doc_id").alias("node"), "*"), None
+    marks = small_side(odd.where("doc_id is not null").select("doc_id", F.lit(True).alias("odd")))
+    rows = rows.join(marks, "doc_id", "left")
+    unnamed = F.col("doc_id").isNull() | F.col("odd").isNotNull()
+    number = F.monotonically_increasing_id() + F.lit(UNNAMED)
+    return rows.select(F.when(unnamed, number).otherwise(F.col("doc_id")).alias("node"), "doc_id", "text_key", "text"), odd
+
+
+def with_head(rows: DataFrame, heads: DataFrame, most: int) -> DataFrame:
+    """rows with the column head: the first node that has their text, where several have it.
+
+    heads: text_key, head, n. Texts that more than `most` rows have are broadcast; others join, so none fills a task."""
+    hot = F.broadcast(heads.where(F.col("n") > most).select("text_key", F.col("head").alias("hot")))
+    told = rows.join(hot, "text_key", "left")
+    rest = told.where("hot is null").drop("hot").join(small_side(heads.where(F.col("n") <= most).select("text_key", "head")), "text_key", "left")
+    return told.where("hot is not null").withColumnRenamed("hot", "head").unionByName(rest)
+
+
+def _classes(rows: DataFrame, docs: DataFrame, threshold: float, bands: int, per_band: int, words: int) -> DataFrame:
+    """node, doc_id, text_key, class_id (the smallest node of the class), links of all rows of named()."""
+    signed = cut(sign(rows, bands, per_band, words))
+    copies = signed.where("text_key is not null").groupBy("text_key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = cut(copies)
+    # At most a thousand texts have more than a thousandth of all rows; where that's less than a hundred rows, they have a hundred.
+    most = max(100, signed.count() // 1000)
+    told = cut(with_head(signed.select("node", "doc_id", "text_key"), heads, most).select("node", "doc_id", "text_key", F.coalesce("head", "node").alias("head")))
+    # One row for each text that has a word: the row of its head.
+    alone = cut(with_head(signed.where("weight > 0"), heads, most).where("head is null or head = node").select("node", "text_key", "weight", "signature", "keys"))
+    buckets = alone.select("node", "weight", F.explode("keys").alias("bucket"))
+    leaders = cut(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader"))
+    members = cut(buckets.join(leaders.hint("merge"), "bucket"))
+    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    edges = verified(stars, alone, docs, threshold, words)
+    labels = components(edges)
+    more = across(members.select("bucket", "node", "weight"), labels, alone, docs, bands * per_band, bands, threshold, words)
+    if not more.isEmpty():
+        edges = cut(edges.unionByName(more))
+        labels = components(edges)
+    links = cut(edges.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("pairs")))
+    about = labels.select(F.col("node").alias("head"), "label").join(links, "head")  # every node of a component has a pair
+    found = told.join(small_side(about), "head", "left")
+    copy = F.when(F.col("node") != F.col("head"), 1).otherwise(0)
+    return found.select("node", "doc_id", "text_key", F.coalesce("label", "head").alias("class_id"), (F.coalesce("pairs", F.lit(0)) + copy).cast("long").alias("links"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = 5) -> DataFrame:
-    """doc_id, class_id, representative (the smallest doc_id of its class), links of every document.
+    """doc_id, class_id, representative, links of every row.
+
+    Rows are in one class if they are linked, directly or through others, by an equal text or by a weighted Jaccard similarity
+    of at least threshold. class_id is the smallest doc_id of the class's rows; only ids that one row alone has count, and a class
+    without such an id has a number from 2**62 on. representative: the row that gives its class the id; each class has one. links:
+    verified pairs that a row's text is in, as the search compared them, plus 1 for a copy of another row's text.
 
-    class_id is the smallest doc_id of all documents that are linked, directly or through others, by an equal text or by a
-    weighted Jaccard similarity of at least threshold. links: verified pairs that a document's text is in, as the search
-    compared them, plus 1 if it is a copy. Texts of fewer words than a shingle have one shingle, the whole. Texts without any
-    word are linked to equal texts only; a null text to none. Rows with a null doc_id aren't returned, since a class has to be
-    named by an id. Repeated rows of one doc_id are one document, with the smallest of its texts. Other columns aren't read.
+    Texts of fewer words than a shingle have one shingle, the whole. Texts without any word are linked to equal texts only; a null
+    text to none, so each is a class of its own. Null and repeated doc_ids are rows like others, by their own texts; negative ids
+    count as repeated. Very long texts are compared as a whole. Other columns aren't read; an empty table gives none.
     """
-    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("doc_id is not null")
-    named = one_text_each(named)
-    signed = cut(sign(named, bands, rows, words))
-    heads = signed.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("head"))
-    copies = cut(signed.select("doc_id", "text_key").join(heads, "text_key", "left").select("doc_id", F.coalesce("head", "doc_id").alias("head")))
-    # One row for each text: the row of its head.
-    alone = cut(signed.join(heads, "text_key").where("doc_id = head and weight > 0").drop("head", "text_key"))
-    buckets = alone.select("doc_id", F.explode("keys").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    members = cut(buckets.join(leaders, "bucket"))
-    stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = verified(stars, named, threshold, words)
-    labels = components(edges)
-    more = across(members.select("bucket", "doc_id"), labels, alone, named, bands * rows, bands, threshold, words)
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        labels = components(edges)
-    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    found = copies.join(labels.select(F.col("node").alias("head"), "label"), "head", "left").join(links.select(F.col("node").alias("head"), "links"), "head", "left")
-    found = found.select("doc_id", "head", F.coalesce("label", "head").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.when(F.col("doc_id") != F.col("head"), 1).otherwise(0)).cast("long").alias("links"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("representative"), "links")
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with one document of each class: the one with the smallest doc_id.
-
-    Of rows that share a doc_id one stays, the one with the smallest text. Rows with a null doc_id all stay."""
-    named = docs["doc_id"].cast("long")
-    again = cut(docs.select(named.alias("i")).where("i is not null").groupBy("i").agg(F.count("*").alias("n")).where("n > 1").select("i"))
-    gone = small_side(classes(docs, **options).where("not representative").select(F.col("doc_id").alias("__gone")))
-    kept = docs.join(gone, named == gone["__gone"], "left_anti")
-    if again.isEmpty():
-        return kept
-    names = kept.columns
-    plain = kept.toDF(*(f"c{i}" for i in range(len(names))))
-    key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    repeated = small_side(again)
-    rest = plain.join(repeated, plain[key].cast("long") == repeated["i"], "left_anti")
-    one = plain.join(repeated, plain[key].cast("long") == repeated["i"], "left_semi").groupBy(F.col(key).alias("k")).agg(F.min_by(F.struct(*plain.columns), F.col(text)).alias("row"), F.any_value(F.struct(*plain.columns)).alias("any"))
-    return rest.unionByName(one.select(F.coalesce("row", "any").alias("row")).select("row.*")).toDF(*names)
+    found = _classes(named(docs)[0], docs, threshold, bands, rows, words)
+    return found.select("doc_id", "class_id", (F.col("node") == F.col("class_id")).alias("representative"), "links")
+
+
+def deduplicated(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, words: int = 5) -> DataFrame:
+    """docs, all columns whatever their names, with one row of each class of classes(): its representative.
+
+    Rows with null texts are classes of their own and stay. Of equal rows one stays; of several rows with one doc_id and one text
+    but other columns, the one whose columns come first as text. An empty table stays empty."""
+    every, odd = named(docs)
+    found = _classes(every, docs, threshold, bands, rows, words)
+    own = docs["doc_id"].cast("long")
+    if odd is None:
+        gone = small_side(found.where("node <> class_id").select(F.col("doc_id").alias("__gone")))
+        return docs.join(gone, own == gone["__gone"], "left_anti")
+    # Rows that a doc_id names are judged by it, the others by doc_id and text.
+    found = cut(found)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{names.index('text')}")
+    marks = small_side(odd.select(F.col("doc_id").alias("__odd")))
+    by_id = plain.join(marks, doc_id == F.col("__odd"), "left_anti").where(doc_id.isNotNull())
+    gone = small_side(found.where(f"node <> class_id and node < {UNNAMED}").select(F.col("doc_id").alias("__gone")))
+    by_id = by_id.join(gone, doc_id == F.col("__gone"), "left_anti")
+    others = plain.where(doc_id.isNull()).unionByName(plain.join(marks, doc_id == F.col("__odd"), "left_semi"))
+    kept = small_side(found.where(f"node = class_id and node >= {UNNAMED} and text_key is not null").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    chosen = others.join(kept, doc_id.eqNullSafe(F.col("__id")) & (text_key(text) == F.col("__key")), "left_semi")
+    row = F.struct(*plain.columns)
+    one = chosen.groupBy(doc_id.alias("__id"), text_key(text).alias("__key")).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return by_id.unionByName(others.where(text.isNull())).unionByName(one).toDF(*names)
