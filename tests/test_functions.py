@@ -82,3 +82,15 @@ def test_classify(spark):
 
 def test_severity(spark):
     assert values(spark, lambda x: severity.meets(x, "minor"), "unknown", "Minor", "extreme", "odd", None) == [False, True, True, False, False]
+
+
+def test_isbns_are_worked_out_once(spark):
+    df = spark.createDataFrame([("978-0-306-40615-7",), ("0-306-40615-2",), ("080442957x",), ("9790000000001",), ("97 8030640615 8",), ("١234567890",), ("",), (None,)], "t string")
+    out = df.select(ids.isbn_identity(F.col("t")).alias("one"), ids.isbn10_to_13(F.col("t")).alias("thirteen"))
+    assert [(r["one"]["isbn13"], r["one"]["isbn10"], r["thirteen"]) for r in out.collect()] == [
+        ("9780306406157", "0306406152", None), ("9780306406157", "0306406152", "9780306406157"), ("9780804429573", "080442957X", "9780804429573"), ("9790000000001", None, None), *[(None, None, None)] * 4
+    ]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    found = df.select(ids.extract_isbns(F.concat("t", F.lit(" or 0-306-40615-2 0306406152"))).alias("x"))
+    assert [r["x"] for r in found.collect()][0] == ["9780306406157", "0306406152"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
