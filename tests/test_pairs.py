@@ -1,11 +1,12 @@
 """Pairs and identities where many rows have the same names."""
 
+import math
 import random
 
 import duckdb
 import pytest
 
-from tidemill.operators import similarity
+from tidemill.operators import lanes, similarity
 from tidemill.plans import queries
 
 PART = "/root/testdata/sf0.001/part.parquet"
@@ -56,3 +57,48 @@ def test_agreeing_pairs(spark):
     df = spark.createDataFrame([*rows, (None, "x", 1.5, 1)], "id long, s string, d double, n int")
     for size in (1, 4, 1000):
         assert sorted(map(tuple, similarity.agreeing_pairs(df, "id", ["s", "d", "n"], size).collect())) == want
+
+
+WORKS = "id long, title string, authors array<string>, year int, isbn13 string"
+
+
+def scores(records, authority, k, floor):
+    """Each record with each work, by the definition."""
+    rounded = lambda x: math.floor(x * 1000 + 0.5) / 1000
+    least, best = max(0.05, (floor - 0.4) / 0.6), {}
+    for i, title, names, year, isbn in records:
+        for j, other, more, when, code in authority:
+            x, y = set((title or "").split()), set((other or "").split())
+            dice = rounded(2.0 * len(x & y) / (len(x) + len(y))) if x and y else 0.0
+            author = 1.0 if set(names or ()) & set(more or ()) else 0.0
+            near = 0.0 if year is None or when is None else {0: 1.0, 1: 0.6, 2: 0.3}.get(abs(year - when), 0.0)
+            score = rounded(dice * 0.6 + author * 0.25 + near * 0.15) if dice >= least else 0.0
+            best[i, j] = max(best.get((i, j), 0.0), 1.0 if isbn and isbn == code else score)
+    out = []
+    for i in {r[0] for r in records}:
+        top = sorted((-v, j) for (r, j), v in best.items() if r == i and v >= floor)[:k]
+        out += [(i, j, -v, n) for n, (v, j) in enumerate(top, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("floor,k,longest", [(0.82, 3, 6), (0.6, 10, 6), (0.3, 2, 6), (0.7, 4, 11)])
+def test_resolve_finds_the_best(spark, floor, k, longest):
+    rng = random.Random(longest * k)
+    words = "red blue old new hot cold ring bolt rod plate anvil gear".split()
+
+    def work(i):
+        title = rng.sample(words[: longest + 1], rng.randint(1, longest))
+        return (i, rng.choice([" ".join(title)] * 9 + [None]), rng.choice([None, [], ["ann"], ["ann", "bob"], ["cy"]]), rng.choice([None, *range(2000, 2005)]), rng.choice([None] * 9 + ["x", "y"]))
+
+    records, authority = [work(i) for i in range(40)], [work(i // 2 if i < 20 else i) for i in range(150)]
+    got = lanes.resolve(spark.createDataFrame(records, WORKS), spark.createDataFrame(authority, WORKS), k, floor).collect()
+    assert sorted(map(tuple, got)) == scores(records, authority, k, floor)
+
+
+def test_resolve_with_one_title(spark):
+    """All works have the same title; the pairs grow with the records."""
+    n = 1500
+    rows = spark.createDataFrame([(i, "Same Short Title", ["Jane Austen"], 1813, None) for i in range(n)], WORKS)
+    found = lanes.resolve(rows, rows, 3)
+    assert sorted(map(tuple, found.collect())) == [(i, j, 1.0, j + 1) for i in range(n) for j in range(3)]
+    assert moved(found) < n * n / 10

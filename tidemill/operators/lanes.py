@@ -16,6 +16,8 @@ from tidemill.shared import cut
 # Statuses that make a result partial, and the lowest score at which an identity counts as resolved.
 PARTIAL = ("error", "unsupported", "partial", "disabled")
 IDENTITY_FLOOR = 0.82
+# Fixed value: the most tokens of a title all of whose sets of tokens are looked up.
+SHORT_TITLE = 8
 
 
 @dataclass(frozen=True)
@@ -195,31 +197,77 @@ def surnames(authors: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(authors, surname), lambda n: n.isNotNull() & (n != "")))
 
 
+def _weigh(title: Column, author: Column, year: Column) -> Column:
+    return similarity.rounded(title * similarity.TITLE_WEIGHT + author * similarity.AUTHOR_WEIGHT + year * similarity.YEAR_WEIGHT)
+
+
+def _keyed(*parts: Column) -> list[Column]:
+    """A key of 128 bits as two columns."""
+    return [F.xxhash64(F.lit(i), *parts).alias(f"key{i}") for i in range(2)]
+
+
+def _keys(works: DataFrame, least: float, floor: float, asking: bool) -> DataFrame:
+    """id, key0, key1, score: for each set of a title's tokens, a work asks for works of each size with these tokens, one of its
+    surnames or any, and one of the years near its own or any, and is found under such keys. Score is what a pair of the key has at
+    least; keys whose pairs can't reach the floor by it are left out.
+
+    works: id, tokens (at most SHORT_TITLE), names, year."""
+    words = F.expr("filter(tokens, (x, i) -> (mask & shiftleft(1, i)) <> 0)")
+    rows = works.withColumn("n", F.size("tokens")).where("n > 0").withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, n) - 1)"))).withColumn("s", F.bit_count("mask"))
+    # The other title has at least the shared tokens.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.col("s"), F.lit(SHORT_TITLE))) if asking else F.col("s")).withColumn("title", similarity.rounded(2.0 * F.col("s") / (F.col("n") + F.col("other"))))
+    most = lambda author, year: _weigh(F.col("title"), author, year) >= floor
+    rows = rows.where((F.col("title") >= least) & most(F.lit(1.0), F.lit(1.0))).withColumn("words", words)
+    rows = rows.withColumn("name", F.explode(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(F.lit(None).cast("string"))))).withColumn("author", F.when(F.col("name").isNotNull(), 1.0).otherwise(0.0)).where(most(F.col("author"), F.lit(1.0)))
+    at = lambda gap: F.struct((F.col("year") + gap).cast("long").alias("at"), similarity.year_similarity(F.lit(0), F.lit(gap)).alias("weight"))
+    near = F.when(F.col("year").isNotNull(), F.array(*map(at, range(-2, 3) if asking else [0]))).otherwise(F.array().cast("array<struct<at:bigint,weight:double>>"))
+    rows = rows.withColumn("when", F.explode(F.concat(near, F.array(F.struct(F.lit(None).cast("long").alias("at"), F.lit(0.0).alias("weight"))))))
+    score = _weigh(F.col("title"), F.col("author"), F.col("when.weight"))
+    size = F.col("other" if asking else "n")
+    return rows.select("id", *_keyed(F.col("words"), size, F.coalesce("name", F.lit("")), F.coalesce("when.at", F.lit(-(2**40)))), score.alias("score")).where(F.col("score") >= floor)
+
+
 def resolve(records: DataFrame, authority: DataFrame, k: int = 10, floor: float = IDENTITY_FLOOR) -> DataFrame:
     """record_id, source_id, score, rank: the k best authoritative works of each record whose score reaches the floor.
 
     Both have id, title, authors (array), year and those of isbn13, isbn10, doi, oclc and lccn that both know. A shared identifier scores
     1, else the score is weighted from titles, surnames and years. Only pairs whose titles are similar enough to reach the floor
-    are ever scored."""
+    are ever scored.
+
+    Of the works with the same key, the k first ids are enough: all have at least the key's score, so whatever comes after them has k
+    better ones, and each of the k best is among the first of the key that has its own score. So the pairs grow with the records, however many works
+    share their titles. Longer titles, which have too many sets of tokens, are compared by rare tokens."""
     shared = [c for c in IDENTIFIERS if c in records.columns and c in authority.columns]
 
-    def shape(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("id", "year", *shared)), similarity.title_tokens(F.col("title")).alias(f"{prefix}_tokens"), surnames(F.col("authors")).alias(f"{prefix}_names"))
+    def shape(df: DataFrame) -> DataFrame:
+        return df.select("id", "year", *shared, F.array_sort(similarity.title_tokens(F.col("title"))).alias("tokens"), surnames(F.col("authors")).alias("names"))
 
-    a, b = shape(records, "r"), shape(authority, "s")
+    a, b = shape(records), shape(authority)
     # Authors and year give at most their weights, so a title has to make up the rest.
     least = max(0.05, (floor - similarity.AUTHOR_WEIGHT - similarity.YEAR_WEIGHT) / similarity.TITLE_WEIGHT)
-    close = similarity.candidates(a.withColumnRenamed("r_tokens", "tokens"), b.withColumnRenamed("s_tokens", "tokens"), "r_id", "s_id", "tokens", least).select("r_id", "s_id", F.col("score").alias("title"))
-    scored = close.join(a, "r_id").join(b, "s_id")
-    author = F.when(F.arrays_overlap("r_names", "s_names"), 1.0).otherwise(0.0)
-    total = similarity.rounded(F.col("title") * similarity.TITLE_WEIGHT + author * similarity.AUTHOR_WEIGHT + similarity.year_similarity(F.col("r_year"), F.col("s_year")) * similarity.YEAR_WEIGHT)
-    pairs = scored.select("r_id", "s_id", total.alias("score"))
-    if shared:
-        ids = lambda df, prefix: df.select(f"{prefix}_id", *(F.col(f"{prefix}_{c}").alias(c) for c in shared))
-        same = similarity.same_identifier(ids(a, "r"), ids(b, "s"), "r_id", "s_id", shared)
-        pairs = pairs.unionByName(same.withColumn("score", F.lit(1.0))).groupBy("r_id", "s_id").agg(F.max("score").alias("score"))
+
+    def keys(df: DataFrame, asking: bool) -> DataFrame:
+        out = _keys(df.where(F.size("tokens") <= SHORT_TITLE), least, floor, asking)
+        for c in shared:
+            out = out.unionByName(df.where(F.col(c).isNotNull()).select("id", *_keyed(F.lit(c), F.col(c).cast("string")), F.lit(1.0).alias("score")))
+        return out
+
+    by_key = Window.partitionBy("key0", "key1").orderBy("id")
+    first = keys(b, False).select("key0", "key1", "id").withColumn("place", F.dense_rank().over(by_key)).where(F.col("place") <= k)
+    pairs = keys(a, True).withColumnRenamed("id", "r_id").join(first.withColumnRenamed("id", "s_id"), ["key0", "key1"]).select("r_id", "s_id", "score")
+
+    named = lambda df, name: df.select(F.struct("id", "year", "names").alias(name), "tokens")
+    long, short = F.size("tokens") > SHORT_TITLE, F.size("tokens") <= SHORT_TITLE
+    for left, right in ((a.where(long), b), (a.where(short), b.where(long))):
+        if not left.isEmpty() and not right.isEmpty():
+            close = similarity.candidates(named(left, "r"), named(right, "s"), "r", "s", "tokens", least)
+            author = F.when(F.arrays_overlap("r.names", "s.names"), 1.0).otherwise(0.0)
+            total = _weigh(F.col("score"), author, similarity.year_similarity(F.col("r.year"), F.col("s.year")))
+            pairs = pairs.unionByName(close.select(F.col("r.id").alias("r_id"), F.col("s.id").alias("s_id"), total.alias("score")).where(F.col("score") >= floor))
+    # Dealt by record, so that neither the best score of a pair nor the ranks move rows again.
+    best = pairs.repartition("r_id").groupBy("r_id", "s_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("r_id").orderBy(F.desc("score"), "s_id")
-    return pairs.where(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("r_id").alias("record_id"), F.col("s_id").alias("source_id"), "score", "rank")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("r_id").alias("record_id"), F.col("s_id").alias("source_id"), "score", "rank")
 
 
 def works_key(isbn13: Column, doi: Column, md5: Column, title: Column, author: Column, year: Column, format: Column) -> Column:
